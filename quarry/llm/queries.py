@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -21,9 +25,32 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op4_simhash": op4_simhash,
     }
 
 
+_OP1 = r"""
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents
+), windows as (
+  select doc_id, unnest(range(1, len(w) - 11)) as p, w from words where len(w) >= 13
+), named as (
+  select doc_id, p, array_to_string(w[p : p + 12], ' ') as t from windows
+), judged as (
+  select doc_id, p, doc_id > min(doc_id) over (partition by t) as again from named
+), gone as (
+  select distinct doc_id, unnest(range(p, p + 13)) as p from judged where again
+), lists as (
+  select doc_id, list(p) as g from gone group by doc_id
+)
+select words.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(g), 0) as bigint) as n_removed,
+  sha256(array_to_string(case when g is null then w else list_filter(w, (x, i) -> not list_contains(g, i)) end, ' ')) as kept_sha256
+from words left join lists on words.doc_id = lists.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring_dedup": _OP1,
+    }
