@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup
+from . import bpe, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a vocabulary lies: the public tokenizers' package, unless TOKENIZER_DIR names a folder."""
+    own = os.environ.get("TOKENIZER_DIR")
+    if own:
+        return os.path.join(own, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -23,16 +40,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_encode(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op4_simhash": op4_simhash,
+        "op6_bpe": op6_bpe,
     }
 
 
 _OP1 = r"""
 with words as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
 ), windows as (
   select doc_id, unnest(range(1, len(w) - 11)) as p, w from words where len(w) >= 13
 ), named as (
@@ -45,7 +67,7 @@ with words as (
   select doc_id, list(p) as g from gone group by doc_id
 )
 select words.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(g), 0) as bigint) as n_removed,
-  sha256(array_to_string(case when g is null then w else list_filter(w, (x, i) -> not list_contains(g, i)) end, ' ')) as kept_sha256
+  sha256(array_to_string(case when g is null then w else list_filter(w, lambda x, i: not list_contains(g, i)) end, ' ')) as kept_sha256
 from words left join lists on words.doc_id = lists.doc_id
 """
 
