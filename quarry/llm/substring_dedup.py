@@ -145,13 +145,14 @@ def _survey(window: int, piece: int) -> Callable:
 
 
 def survey(text: DataFrame, window: int = WINDOW, piece: int = PIECE) -> tuple[int, np.ndarray]:
-    """Bytes of all text, and the hot minimisers: fewer than 2 * HOT by their definition."""
+    """Bytes of all text, and the hot minimisers: fewer than HOT by their definition."""
     counts = text.mapInArrow(_survey(window, piece), "key long, n long, windows long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows"))
-    total = counts.filter("key is null").first()
-    if total is None:
+    most = counts.orderBy(F.col("key").isNotNull(), F.col("n").desc()).limit(2 * HOT).collect()
+    if not most:
         return 0, np.zeros(0, np.uint64)
-    hot = counts.filter(F.col("key").isNotNull() & (F.col("n") * HOT > total.windows) & (F.col("n") > 100)).select("key").collect()
-    return total.n, np.sort(np.array([r.key for r in hot], np.int64).view(np.uint64))
+    total, *found = most  # the row without a key comes first
+    hot = [r.key for r in found if r.n * HOT > total.windows and r.n > 100]
+    return total.n, np.sort(np.array(hot, np.int64).view(np.uint64))
 
 
 def _super_kmers(window: int, piece: int, buckets: int, places: int, hot: np.ndarray) -> Callable:
