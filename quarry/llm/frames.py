@@ -47,7 +47,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut into slices of about `most` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, substring_dedup
+from . import bpe, decontaminate, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +44,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern())
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    named = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op4_simhash": op4_simhash,
         "op6_bpe": op6_bpe,
+        "op8_decontaminate": op8_decontaminate,
     }
 
 
@@ -72,7 +79,34 @@ from words left join lists on words.doc_id = lists.doc_id
 """
 
 
+_OP8 = r"""
+with dw as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents
+), iw as (
+  select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark
+), windows as (
+  select item_id, least(13, len(w)) as n, w[p : p + least(13, len(w)) - 1] as v
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as p from iw where len(w) > 0)
+), sizes as (
+  select distinct n from windows
+), places as (
+  select doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') as t
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from dw, sizes where len(w) >= n)
+), hits as (
+  select doc_id, places.n, p, item_id from places join windows on places.n = windows.n and t = array_to_string(v, ' ')
+), covered as (
+  select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hits) group by doc_id
+), named as (
+  select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as s from hits group by doc_id
+)
+select dw.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from dw left join covered on dw.doc_id = covered.doc_id left join named on dw.doc_id = named.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": _OP1,
+        "op8_decontaminate": _OP8,
     }
