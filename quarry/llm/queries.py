@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash, substring_dedup
+from . import bpe, decontaminate, secret_scan, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +50,24 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), "contaminated")
 
 
+def _of_kind(k: int) -> Callable:
+    return lambda x: x["kind"] == k
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+    base = secret_scan.KINDS[:3]
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(base)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.named(F.col("base")), 256).alias("base_sha256"), secret_scan.named(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op4_simhash": op4_simhash,
         "op6_bpe": op6_bpe,
         "op8_decontaminate": op8_decontaminate,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
