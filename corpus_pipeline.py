@@ -1,23 +1,69 @@
-"""The corpus pipeline: stages that each take what the one before kept."""
+"""The corpus pipeline: quality classifier, near-dedup, decontamination, secret scans, encoding.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; all but the
+last return the columns of documents.  run() writes each stage's rows as Parquet under the shared folder of
+spark.checkpoint.dir and reads them again, so a lost executor costs no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import simhash
+from quarry.llm import bpe, decontaminate, secret_scan, simhash, weak_quality
+from quarry.llm.queries import tokenizer_file, tokenizer_pattern
+
+#: Bits that fingerprints of near duplicates may differ by here.  Copies with a few changed words differ by 3 to 8 bits
+#: (the operator's own query links up to 2, as its contract has it); unrelated texts differ by about 32.
+NEAR_RADIUS = 6
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return weak_quality.keep_good(docs, weak_quality.train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near duplicates stays: the one with the smallest id."""
+    return simhash.deduplicate(docs, radius=NEAR_RADIUS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with enough words of the benchmark go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are masked."""
+    return secret_scan.redact(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    return bpe.bpe_encode(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern(), emit_ids=True)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+STAGES = [
+    ("quality_classifier", quality),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scan", secrets),
+    ("bpe_encoding", encoding),
+]
+#: Fitted scores, fingerprints and token ids are beyond SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for documents."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    folder = f"{shared}/corpus_pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{k}_{name}")
+        docs = spark.read.parquet(f"{folder}/{k}_{name}")
     return docs

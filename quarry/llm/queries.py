@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality_rules, secret_scan, simhash, substring_dedup, token_counts, weak_quality
+from . import bpe, decontaminate, langid, quality_rules, secret_scan, simhash, substring_dedup, token_counts, url_filters, weak_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,37 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+#: The query's list is made from the hosts in pages by rule: a host whose MD5 starts with one of 0 to 5 goes on the list, comes
+#: off it and goes on again; so do site domains and the first path below a host.  Fetch times are spread over 2024.
+_START, _YEAR = 1704067200, 31622400
+_ENTRIES = """
+with hosts as (
+  select distinct lower({host}) as host from pages
+), named as (
+  select 'domain' as kind, host as pattern, md5(host) as h from hosts where substr(md5(host), 1, 1) < '6'
+  union all
+  select distinct 'domain', site, md5(site) from (select regexp_extract(host, '([^.]+[.][^.]+)$', 1) as site from hosts) where substr(md5(site), 1, 1) < '4'
+  union all
+  select distinct 'prefix', p, md5(p) from (select concat(lower({host}), {path}) as p from pages) where substr(md5(p), 1, 1) < '4'
+), timed as (
+  select kind, pattern, {hex1} as a, {hex2} as b from named
+)
+select kind, pattern, 'add' as action, 1704067200 + a * 200 as ts from timed
+union all
+select kind, pattern, 'remove', 1704067200 + a * 200 + b * 300 from timed where b % 3 <> 0
+union all
+select kind, pattern, 'add', 1704067200 + a * 200 + b * 400 from timed where b % 3 = 1
+"""
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.lit(_START) + F.pmod(F.col("page_id") * 7919 * 13, F.lit(_YEAR)))
+    sql = _ENTRIES.format(host="regexp_extract(url, '//([^/?#:@]*)', 1)", path="regexp_extract(url, '//[^/?#]*(/[^/?#]*/)', 1)", hex1="cast(conv(substr(h, 2, 4), 16, 10) as bigint)", hex2="cast(conv(substr(h, 6, 4), 16, 10) as bigint)")
+    entries = spark.sql(sql.replace("from pages", "from {pages}"), pages=pages)
+    return url_filters.url_filter(captures, entries, at="ts")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -84,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_url_filters": op3_url_filters,
         "op4_simhash": op4_simhash,
         "op5_langid": op5_langid,
         "op6_bpe": op6_bpe,
@@ -140,8 +172,33 @@ from dw left join covered on dw.doc_id = covered.doc_id left join named on dw.do
 """
 
 
+_OP3 = (
+    "with entries as ("
+    + _ENTRIES.format(host="regexp_extract(url, '//([^/?#:@]*)', 1)", path="regexp_extract(url, '//[^/?#]*(/[^/?#]*/)', 1)", hex1="cast('0x' || substr(h, 2, 4) as bigint)", hex2="cast('0x' || substr(h, 6, 4) as bigint)")
+    + r"""), last_action as (
+  select kind, pattern, ts, max(action) as action from entries group by kind, pattern, ts
+), spans as (
+  select kind, pattern, action, ts as from_at, coalesce(lead(ts) over (partition by kind, pattern order by ts), 4611686018427387904) as until_at from last_action
+), captures as (
+  select page_id, url, 1704067200 + (page_id * 7919 * 13) % 31622400 as fetched_at, lower(regexp_extract(url, '//([^/?#:@]*)', 1)) as host,
+    regexp_extract(url, '//[^/?#]*(/[^?#]*)', 1) as path from pages
+), hits as (
+  select distinct c.page_id, s.kind, s.pattern
+  from captures c join spans s on s.action = 'add' and s.from_at <= c.fetched_at and c.fetched_at < s.until_at
+    and case when s.kind = 'domain' then c.host = s.pattern or ends_with(c.host, '.' || s.pattern)
+      else starts_with(c.host || c.path, s.pattern) and (ends_with(s.pattern, '/') or c.host || c.path = s.pattern or substr(c.host || c.path, length(s.pattern) + 1, 1) = '/') end
+), found as (
+  select page_id, count(*) as n_matches, max(struct_pack(n := length(pattern), d := kind = 'domain', pattern := pattern, kind := kind)) as best from hits group by page_id
+)
+select c.page_id, c.url, c.fetched_at, best is not null as blocked, cast(coalesce(n_matches, 0) as bigint) as n_matches, best.pattern as pattern, best.kind as kind
+from captures c left join found on c.page_id = found.page_id
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": _OP1,
+        "op3_url_filters": _OP3,
         "op8_decontaminate": _OP8,
     }
