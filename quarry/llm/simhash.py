@@ -33,7 +33,7 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 2
 #: Rows of a bucket that are compared pair by pair; the exact way for larger ones is above.
-PAIRWISE = 2048
+PAIRWISE = 16384
 #: Byte value to its eight bits, each in a byte of its own.
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -105,11 +105,11 @@ def _bucket_edges(radius: int, pairwise: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
 
     def flips(t: int, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        spare = [np.uint64(1 << i) for i in range(64) if not int(kept[t]) >> i & 1]
+        spare = [1 << i for i in range(64) if not int(kept[t]) >> i & 1]
         for x in (fp[i : i + 20_000] for i in range(0, len(fp), 20_000)):
             for n in range(radius // 2 + 1):
                 for some in combinations(spare, n):
-                    yield rows(1, x ^ np.bitwise_or.reduce(some, initial=np.uint64(0)), x)
+                    yield rows(1, x ^ np.uint64(sum(some)), x)
 
     def groups(t: np.ndarray, x: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole buckets."""
@@ -157,7 +157,9 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
     if radius % 2 or radius < 0:
         raise ValueError("radius must be even")
     tables = F.explode(F.array(*[F.struct(F.lit(v).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for v, m in enumerate(masks(radius))])).alias("b")
-    dealt = fps.select("fp", tables).select(F.col("b.t").cast("int").alias("t"), F.col("b.k").alias("k"), "fp")
+    # spread first: few fingerprints make many table rows
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    dealt = spread.select("fp", tables).select(F.col("b.t").cast("int").alias("t"), F.col("b.k").alias("k"), "fp")
     out = dealt.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_bucket_edges(radius, pairwise), "kind int, a long, b long")
     out = checkpointed(out)
     over = out.filter("kind = 1").select(F.col("a").alias("flip"), F.col("b").alias("fp"))
