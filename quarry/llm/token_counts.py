@@ -78,7 +78,7 @@ class Counter:
         return count[n]
 
     def count(self, text: str) -> int:
-        return sum(map(self.memo.__getitem__, self.runs(" " + text))) if text else 0
+        return sum(map(self.memo.__getitem__, self.runs((" " + text).replace(MARK, " ")))) if text else 0
 
 
 @lru_cache(maxsize=2)
