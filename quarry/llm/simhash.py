@@ -74,9 +74,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def masks(radius: int) -> list[int]:
-    """The bits that each table keeps, as signed longs."""
+    """The bits that each table keeps, as signed longs.  Up to radius 4 the vectors take turns, so each is used alike;
+    for 6 they are a one and the position's six bits (a Reed-Muller code), so each table keeps 32 bits."""
+    if radius not in (0, 2, 4, 6):
+        raise ValueError("radius must be 0, 2, 4 or 6")
     top = 1 << (radius + 1)
-    return [int(np.int64(np.uint64(sum(1 << i for i in range(64) if ((i % (top - 1) + 1) & v).bit_count() & 1)))) for v in range(1, top)]
+    vector = [(64 | i) if radius == 6 else i % (top - 1) + 1 for i in range(64)]
+    kept = [sum(1 << i for i in range(64) if (vector[i] & v).bit_count() & 1) for v in range(1, top)]
+    if radius:
+        kept = [m for m in kept if m != 2**64 - 1]  # that table has only equal fingerprints meet
+    return [m - (1 << 64) if m >> 63 else m for m in kept]
 
 
 def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +160,7 @@ def _bucket_edges(radius: int, pairwise: int):
 
 
 def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints `fp` that hold together what is linked; radius is even."""
-    if radius % 2 or radius < 0:
-        raise ValueError("radius must be even")
+    """Edges (a, b) between distinct fingerprints `fp` that hold together what is linked."""
     tables = F.explode(F.array(*[F.struct(F.lit(v).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for v, m in enumerate(masks(radius))])).alias("b")
     # spread first: few fingerprints make many table rows
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")

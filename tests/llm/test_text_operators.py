@@ -139,7 +139,7 @@ def test_near_duplicates(odd, docs, rows):
 def test_covering_masks_miss_nothing():
     for radius in (2, 4, 6):
         own = [m & (2**64 - 1) for m in simhash.masks(radius)]
-        assert len(own) == 2 ** (radius + 1) - 1
+        assert min(m.bit_count() for m in own) >= 32
         rng = random.Random(radius)
         for _ in range(300):
             flip = sum(1 << b for b in rng.sample(range(64), radius))
