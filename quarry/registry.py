@@ -1,20 +1,18 @@
-"""Query name to Spark function and oracle SQL."""
+"""All registered queries of the engine."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def _s6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id")).orderBy("doc_id")
+from quarry.plans import feeds, ledgers, namespace, needles, policies, scalars, topology  # noqa: F401  they register
+from quarry.plans.catalog import ORACLES, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"s6_list_objects": _s6}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"s6_list_objects": "select doc_id from documents"}
+    return dict(ORACLES)
