@@ -179,7 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links(fps.select("fp"), radius, pairwise))
     placed = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = checkpointed(placed)
-    component = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # computed first, so that the join below has a shuffle of its own on either side and AQE can split a large component
+    component = checkpointed(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     to = placed.join(component, "root").select("fp", "component_id")
     return own.join(to, "fp").select("doc_id", "fp", "component_id")
 
