@@ -7,9 +7,9 @@ of host and path that ends at a slash or at its end; the as-of join finds the in
 At one time the later kind of action wins: an entry that is added and removed at the same second is off.  Hosts are
 compared in lower case, without user, port and trailing dot; paths as they are, without query and fragment.
 
-Scale: only names and times move, never pages.  The join is an ordinary equi-join with a range condition, so Spark broadcasts the
-intervals if they are small and AQE splits a host that holds a third of all captures if they are not; matches are
-added up in each task before they are dealt out.
+Scale: only names and times move, never pages.  The intervals are broadcast up to BROADCAST rows; beyond that the join is
+an ordinary equi-join with a range condition, in which AQE splits a host that holds a third of all captures.  Matches
+are added up in each task before they are dealt out.
 
 Nulls: a null, empty or relative URL, or a null time, matches nothing.  Null patterns, kinds, times or unknown actions make no
 interval.  Repeated captures stay, each with its result; repeated entries count once.  Empty tables: nothing is blocked.
@@ -20,11 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import col
+from .frames import checkpointed, col
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)"
 FOREVER = 2**62
+#: Intervals up to so many rows are broadcast (about 100 bytes each).
+BROADCAST = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -60,7 +62,9 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     before a prefix of the same length), null if none did.  The id keeps its type."""
     own = captures.select(col(captures, id_col).alias("page_id"), col(captures, url_col).cast("string").alias("url"), col(captures, at_col).cast("long").alias("fetched_at"))
     asked = own.filter("url is not null and fetched_at is not null").select("url", "fetched_at", F.explode(keys_of(F.col("url"))).alias("k")).select("url", "fetched_at", "k.kind", "k.pattern")
-    open_then = intervals(entries, **names)
+    open_then = checkpointed(intervals(entries, **names))
+    if open_then.count() <= BROADCAST:
+        open_then = F.broadcast(open_then)
     hit = asked.join(open_then, ["kind", "pattern"]).filter("from_at <= fetched_at and fetched_at < until_at")
     best = F.max(F.struct(F.length("pattern").alias("n"), (F.col("kind") == "domain").alias("d"), "pattern", "kind"))
     # repeated captures of one URL and time would count a match once for each of them, so a pattern counts once
