@@ -78,10 +78,9 @@ def padding(n: Column) -> Column:
 
 
 def needle_disk_size(data: Column, name: Column, mime: Column, pairs: Column, has_modified: Column, has_ttl: Column, version: Column) -> Column:
-    """Bytes that a record takes: header, body, footer and padding.  Lengths are in bytes; version 1 stores data alone."""
+    """Bytes that a record takes: header, body, footer (with the time of appending in version 3) and padding."""
     optional = lambda n, head: F.when(n > 0, n + head).otherwise(0)
-    rich = 4 + data + 1 + optional(name, 1) + optional(mime, 1) + optional(pairs, 2) + F.when(has_modified, 5).otherwise(0) + F.when(has_ttl, 2).otherwise(0)
-    body = F.when(version == 1, data).otherwise(rich)
+    body = 4 + data + 1 + optional(name, 1) + optional(mime, 1) + optional(pairs, 2) + F.when(has_modified, 5).otherwise(0) + F.when(has_ttl, 2).otherwise(0)
     raw = 16 + body + F.when(version == 3, 12).otherwise(4)
     return (raw + padding(raw)).cast("long")
 

@@ -42,12 +42,12 @@ def ancestors(path: Column) -> Column:
 
 def bucket_of(path: Column) -> Column:
     """The first part of bucket/key, with or without a slash before it."""
-    return F.substring_index(F.ltrim(F.lit("/"), path), "/", 1)
+    return F.substring_index(F.ltrim(path, F.lit("/")), "/", 1)
 
 
 def key_of(path: Column) -> Column:
     """What follows the bucket; empty without a key."""
-    own = F.ltrim(F.lit("/"), path)
+    own = F.ltrim(path, F.lit("/"))
     return F.when(F.contains(own, F.lit("/")), F.substring(own, F.instr(own, "/") + 1, F.length(own))).otherwise(F.lit(""))
 
 
