@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from quarry.operators import topology as ops
 from quarry.plans.catalog import query
 
-EXPECTED = 1 + F.col("vid") % 4
+def _expected():
+    return 1 + F.col("vid") % 4
+
 
 
 @query("p9_flatten_snapshot", "select dc, rack, cast(node as varchar) as node, vid from f_topology")
@@ -38,7 +40,7 @@ def _(t):
 
 @query("a8_census", "select vid, count(distinct node) as actual, cast(1 + vid % 4 as bigint) as expected from f_topology group by vid having count(distinct node) < 1 + vid % 4")
 def _(t):
-    return ops.census(t("f_topology"), EXPECTED)
+    return ops.census(t("f_topology"), _expected())
 
 
 _LOADS = "loads as (select n.node, count(distinct vid) as c from f_nodes n left join f_topology t on n.node = t.node group by n.node), b as (select ceil(avg(c) * 1.2) as high, floor(avg(c) * 0.8) as low from loads)"
@@ -70,7 +72,7 @@ _SOURCE = "src as (select vid, node as source from (select t.vid, t.node, row_nu
     select cand.vid, source, target from cand join src on cand.vid = src.vid where k <= expected - actual""",
 )
 def _(t):
-    return ops.repair_plan(t("f_topology"), t("f_nodes"), EXPECTED)
+    return ops.repair_plan(t("f_topology"), t("f_nodes"), _expected())
 
 
 @query("w2_source_nodes", f"with {_SOURCE} select vid, source from src")
