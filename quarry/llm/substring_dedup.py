@@ -389,7 +389,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, hot = survey(text, window, piece)
     buckets, places = max(LEAST, 3 * total // BUCKET), max(LEAST, total // BUCKET)
     sent = text.mapInArrow(_super_kmers(window, piece, buckets, places, hot), "bucket long, kind int, place long, block binary")
-    gone = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_windows(window, places, most), "place long, kind int, block binary")
+    gone = _dealt_by(sent, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_windows(window, places, most), "place long, kind int, block binary")
     whole = text.mapInArrow(_texts(places), "place long, kind int, block binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * emit_text
-    return gone.unionByName(whole).repartition("place").sortWithinPartitions("place", "kind").mapInArrow(_cut(emit_text), schema)
+    return _dealt_by(gone.unionByName(whole), "place").sortWithinPartitions("place", "kind").mapInArrow(_cut(emit_text), schema)
+
+
+def _dealt_by(blocks: DataFrame, number: str) -> DataFrame:
+    """Buckets in turn over the partitions: each gets as many, give or take one, where a hash would give some twice that."""
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartitionById(n, F.pmod(F.col(number), F.lit(n)).cast("int"))
