@@ -55,15 +55,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for documents."""
+    """The last stage's rows for documents.  A stage's table goes once the next one's is whole; the one that the
+    result reads stays, in the shared folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
     folder = f"{shared}/corpus_pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        out = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+        if before:
+            _remove(spark, before)
+        before = out
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import as_bytes, chunks, col, id_and_text, total_bytes
+from .frames import as_bytes, chunks, col, id_and_text, spread, total_bytes
 
 WINDOW = 13
 #: A document is contaminated if one word in so many is hit, at least.
@@ -138,4 +138,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         for x in chunks(batches, at):
             yield x.filter(pa.array([not judge(t, machines, share)[-1] for t in as_bytes(x.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a worker handles at once; bounds its memory.
 CHUNK_BYTES = 4 << 20
+#: Tables up to this size by Spark's own estimate are dealt to all cores if their files don't do so.
+SMALL = 64 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -37,9 +39,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df; a small table in fewer pieces than there are cores (one file, one row group) is dealt out first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL and df.rdd.getNumPartitions() < cores else df
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that matter, under fixed names; other columns can't clash with ours."""
-    return docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).cast("string").alias("text"))
+    return spread(docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).cast("string").alias("text")))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -196,9 +196,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / n))).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * per_language / n))])
+    share = shares[F.col("lang")]
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     sample = own.filter(drawn < 1_000_000 * share).orderBy(drawn, "doc_id", "lang", F.xxhash64("text")).limit(2 * per_language * len(counts)).collect()
     rng, languages, words, labels = np.random.default_rng(7), sorted(counts), [], []

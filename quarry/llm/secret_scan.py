@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import col, fresh, id_and_text
+from .frames import col, fresh, id_and_text, spread
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -199,6 +199,7 @@ def named(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mask: str = MASK, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """docs with each stretch of secrets in the text replaced by the mask; length_col, if docs has it, is renewed
     where a text changed.  Null texts stay null."""
+    docs = spread(docs)
     text, tmp = col(docs, text_col), fresh(docs, "secrets")
     found = docs.withColumn(tmp, _columns(F.coalesce(text.cast("string"), F.lit("")), allow)["spans"])
     text, spans = col(found, text_col), F.col(tmp)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import as_bytes, chunks, id_and_text
+from .frames import as_bytes, chunks, id_and_text, spread
 from .textbytes import LOWER, Words, hash_ranges, mix
 
 BITS = 16
@@ -225,4 +225,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: floa
         for x in chunks(batches, at):
             yield x.filter(pa.array(sent.value.score(as_bytes(x.column(at)))[2] >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
