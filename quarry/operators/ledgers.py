@@ -35,13 +35,20 @@ def references(refs: DataFrame, drops: DataFrame) -> DataFrame:
     return left.where("refs > 0")
 
 
-def quota_ledger(log: DataFrame) -> DataFrame:
+def quota_ledger(log: DataFrame, block: int = 1_000_000) -> DataFrame:
     """log(user_id, seq, delta) with the usage after each step, which never falls below zero.
 
-    With S the running sum, usage is S less the least of 0 and all S so far: two windows over one order, one sort."""
-    order = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    summed = log.withColumn("s", F.sum("delta").over(order))
-    return summed.withColumn("used", (F.col("s") - F.least(F.lit(0), F.min("s").over(order))).cast("long")).drop("s")
+    With S the running sum, usage is S less the least of 0 and all S so far.  Both go by blocks of seq: within a block by
+    windows, across blocks by a window over one row a block, so that a user with most of the rows is spread as well."""
+    keys = ["user_id", "block"]
+    order = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    own = log.withColumn("block", F.floor(F.col("seq") / block)).withColumn("s", F.sum("delta").over(order)).withColumn("m", F.min("s").over(order))
+    earlier = Window.partitionBy("user_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    each = own.groupBy(*keys).agg(F.sum("delta").alias("total"), F.min("m").alias("low")).withColumn("s0", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    before = each.withColumn("m0", F.coalesce(F.min(F.col("s0") + F.col("low")).over(earlier), F.lit(0))).select(*keys, "s0", "m0")
+    placed = own.join(before, keys)
+    s = F.col("s0") + F.col("s")
+    return placed.select(*log.columns, (s - F.least(F.lit(0), F.col("m0"), F.col("s0") + F.col("m"))).cast("long").alias("used"))
 
 
 def quota_check(requests: DataFrame, quotas: DataFrame) -> DataFrame:
@@ -204,11 +211,20 @@ def deal_in_turn(rows: DataFrame, by: str, n: int) -> DataFrame:
 def latency_report(samples: DataFrame, by: str, ranks: dict[str, float], elapsed: float) -> DataFrame:
     """samples(by, ok, latency_ns): of the good ones, the value at place floor((n - 1) p) of each, and their rate.
 
-    Ranked by a window, so a group's samples spill rather than fill one row's list."""
-    good = samples.where("ok")
-    ordered = good.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("latency_ns")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(by)))
-    picks = [F.max(F.when(F.col("place") == F.floor((F.col("n") - 1) * F.lit(p)), F.col("latency_ns"))).alias(name) for name, p in ranks.items()]
-    return ordered.groupBy(by).agg(F.count(F.lit(1)).alias("n_ok"), *picks).withColumn("qps", F.col("n_ok") / F.lit(float(elapsed)))
+    Samples are counted in narrow bins first (256 for each doubling); only the bins that hold a wanted place are sorted, so
+    a group with most of the samples does not end up in one task."""
+    latency = F.col("latency_ns")
+    good = samples.where("ok").select(by, "latency_ns", F.when(latency > 0, F.floor(F.log2(latency) * 256)).otherwise(F.lit(-1)).cast("long").alias("bin"))
+    counts = good.groupBy(by, "bin").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.floor((F.col("n") - 1) * F.lit(p)).alias("place")) for k, p in ranks.items()])).alias("a")
+    wanted = placed.select(by, "bin", "before", "c", "n", asked).where("a.place >= before and a.place < before + c").select(by, "bin", "n", F.col("a.name").alias("name"), (F.col("a.place") - F.col("before") + 1).alias("k"))
+    near = good.join(wanted.select(by, "bin").distinct(), [by, "bin"], "left_semi")
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy(by, "bin").orderBy("latency_ns")))
+    found = ranked.join(wanted, [by, "bin", "k"])
+    picks = [F.max(F.when(F.col("name") == name, latency)).alias(name) for name in ranks]
+    return found.groupBy(by).agg(F.max("n").alias("n_ok"), *picks).withColumn("qps", F.col("n_ok") / F.lit(float(elapsed)))
 
 
 def counters(samples: DataFrame, labels: list[str], value: Column | None = None) -> DataFrame:

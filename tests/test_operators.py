@@ -198,6 +198,15 @@ def test_addresses(spark):
 def test_quota(spark):
     log = spark.createDataFrame([(1, 1, 80), (1, 2, 10), (1, 3, -200), (1, 4, 5)], "user_id long, seq long, delta long")
     assert [r.used for r in ledgers.quota_ledger(log).orderBy("seq").collect()] == [80, 90, 0, 5]
+    rng = random.Random(9)
+    steps = [(rng.choice([1, 1, 1, 2]), i, rng.randint(-50, 45)) for i in range(500)]
+    want, used = [], {1: 0, 2: 0}
+    for u, i, d in steps:
+        used[u] = max(0, used[u] + d)
+        want.append((u, i, d, used[u]))
+    frame = spark.createDataFrame(steps, "user_id long, seq long, delta long")
+    for block in (7, 100, 10**6):
+        assert sorted(map(tuple, ledgers.quota_ledger(frame, block).collect()), key=lambda r: r[1]) == want
     quotas = spark.createDataFrame([(1, 100, 80), (2, 0, 80)], "user_id long, max_bytes long, used_bytes long")
     asked = spark.createDataFrame([(1, 1, 30), (2, 1, 20), (3, 2, 10**9), (4, 9, 1)], "request_id long, user_id long, bytes long")
     assert {r.request_id: r.admitted for r in ledgers.quota_check(asked, quotas).collect()} == {1: False, 2: True, 3: True, 4: True}
@@ -234,6 +243,12 @@ def test_sequences(spark):
 def test_percentiles(spark):
     frame = spark.createDataFrame([("a", True, i) for i in range(100)] + [("a", False, 10**6), ("b", True, 7)], "op string, ok boolean, latency_ns long")
     got = {r.op: r for r in ledgers.latency_report(frame, "op", {"p50": 0.5, "p99": 0.99, "p999": 0.999}, 2.0).collect()}
+    rng = random.Random(5)
+    values = [int(rng.lognormvariate(12, 3)) for _ in range(3000)]
+    many = spark.createDataFrame([("x", True, v) for v in values], "op string, ok boolean, latency_ns long")
+    r = ledgers.latency_report(many, "op", {"p0": 0.0, "p50": 0.5, "p999": 0.999, "p100": 1.0}, 1.0).first()
+    values.sort()
+    assert [r.p0, r.p50, r.p999, r.p100] == [values[ledgers.percentile_place(3000, p)] for p in (0.0, 0.5, 0.999, 1.0)]
     assert (got["a"].p50, got["a"].p99, got["a"].p999, got["a"].qps, got["b"].p99) == (49, 98, 98, 50.0, 7)
 
 
