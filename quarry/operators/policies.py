@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.codes import glob_to_regex, ipv4
-from quarry.plans.rewrite import small
+from quarry.plans.rewrite import is_small, small, with_list
 
 DAY = 86400
 
@@ -37,16 +37,27 @@ def lifecycle(objects: DataFrame, rules: DataFrame, now: int) -> DataFrame:
     """objects(path, mtime_sec, ...) -> path, storage_class, action.
 
     Enabled rules are taken in order.  The first that expires the object deletes it; transitions of rules before that one are
-    made first, the last of them stands.  Rules hold rule_idx, prefix, expire_days, transition_days, storage_class, status."""
-    on = small(rules.where("status = 'Enabled'"))
-    hit = objects.select("path", "mtime_sec").join(on, F.col("path").startswith(F.col("prefix")))
-    hit = hit.select("path", "rule_idx", "storage_class", expired(F.col("mtime_sec"), F.col("expire_days"), now).alias("dies"), transitions(F.col("mtime_sec"), F.col("transition_days"), now).alias("moves")).where("dies or moves")
-    ends = hit.groupBy("path").agg(F.min(F.when(F.col("dies"), F.col("rule_idx"))).alias("end"), F.array_sort(F.collect_list(F.when(F.col("moves"), F.struct("rule_idx", "storage_class")))).alias("steps"))
-    # a rule that does both is done with once it has deleted; rules are few, so the list is short
-    before = F.filter("steps", lambda s: F.col("end").isNull() | (s["rule_idx"] < F.col("end")))
+    made first, the last of them stands.  Rules hold rule_idx, prefix, expire_days, transition_days, storage_class, status.
+    While the rules are few each object reads them as a list, without a shuffle; many rules are joined."""
+    on = rules.where("status = 'Enabled'").select("rule_idx", "prefix", "expire_days", "transition_days", "storage_class")
+    own, mtime = objects.select("path", "mtime_sec"), F.col("mtime_sec")
+    if is_small(on):
+        near = with_list(own, on, "rules").withColumn("hits", F.filter("rules", lambda r: F.col("path").startswith(r["prefix"])))
+        found = near.select(
+            "path",
+            F.get(F.transform(F.filter("hits", lambda r: expired(mtime, r["expire_days"], now)), lambda r: r["rule_idx"]), F.lit(0)).alias("end"),
+            F.transform(F.filter("hits", lambda r: transitions(mtime, r["transition_days"], now)), lambda r: F.struct(r["rule_idx"].alias("rule_idx"), r["storage_class"].alias("storage_class"))).alias("steps"),
+        )
+    else:
+        hit = own.join(on, F.col("path").startswith(F.col("prefix")))
+        ends = hit.groupBy("path", "mtime_sec").agg(
+            F.min(F.when(expired(mtime, F.col("expire_days"), now), F.col("rule_idx"))).alias("end"),
+            F.array_sort(F.collect_list(F.when(transitions(mtime, F.col("transition_days"), now), F.struct("rule_idx", "storage_class")))).alias("steps"),
+        )
+        found = own.join(ends, ["path", "mtime_sec"], "left").select("path", "end", F.coalesce("steps", F.array().cast("array<struct<rule_idx: int, storage_class: string>>")).alias("steps"))
+    before = F.filter("steps", lambda r: F.col("end").isNull() | (r["rule_idx"] < F.col("end")))
     last = F.try_element_at(before, F.lit(-1))["storage_class"]
-    done = ends.select("path", last.alias("storage_class"), F.when(F.col("end").isNotNull(), F.lit("delete")).when(last.isNotNull(), F.lit("transition")).otherwise(F.lit("keep")).alias("action"))
-    return objects.select("path").join(done, "path", "left").select("path", "storage_class", F.coalesce("action", F.lit("keep")).alias("action"))
+    return found.select("path", last.alias("storage_class"), F.when(F.col("end").isNotNull(), F.lit("delete")).when(last.isNotNull(), F.lit("transition")).otherwise(F.lit("keep")).alias("action"))
 
 
 def ttl_expired(written_at: Column, ttl_sec: Column, now: int) -> Column:
@@ -60,9 +71,19 @@ def tiering(mtime_sec: Column, disk_type: Column, is_remote: Column, now: int, a
 
 
 def longest_prefix(paths: DataFrame, rules: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """paths(path) with the columns of the rule whose path_prefix is the longest that matches, or the defaults."""
-    found = paths.select("path").distinct().join(small(rules), F.col("path").startswith(F.col("path_prefix")))
-    best = found.groupBy("path").agg(F.max_by(F.struct(*defaults), F.struct(F.length("path_prefix"), F.col("path_prefix"))).alias("r"))
+    """paths(path) with the columns of the rule whose path_prefix is the longest that matches, or the defaults.
+
+    Few rules are a list that each path reads, without a shuffle.  Many are met by equality: a path is asked about under its
+    beginnings of just the lengths that rules have."""
+    given = rules.select(F.length("path_prefix").alias("n"), "path_prefix", *defaults)
+    if is_small(given):
+        hit = F.filter("rules", lambda r: F.col("path").startswith(r["path_prefix"]))  # sorted by length
+        best = with_list(paths, given, "rules").withColumn("r", F.try_element_at(hit, F.lit(-1)))
+        return best.select(*paths.columns, *[F.coalesce(F.col(f"r.{c}"), F.lit(v)).alias(c) for c, v in defaults.items()])
+    lengths = [r.n for r in given.select("n").distinct().collect()]
+    asked = paths.select("path").distinct().select("path", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])).alias("n")).where("n <= length(path)")
+    hit = asked.withColumn("path_prefix", F.substring("path", F.lit(1), F.col("n"))).join(given, ["n", "path_prefix"])
+    best = hit.groupBy("path").agg(F.max_by(F.struct(*defaults), "n").alias("r"))
     return paths.join(best, "path", "left").select(*paths.columns, *[F.coalesce(F.col(f"r.{c}"), F.lit(v)).alias(c) for c, v in defaults.items()])
 
 
@@ -136,11 +157,10 @@ def audited(requests: DataFrame) -> DataFrame:
 
 
 def first_site_rule(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """requests(request_id, origin, method) with the index of the first rule that allows both; rules(rule_idx, origins, methods)."""
-    origin = F.exists("origins", lambda o: (o == "*") | (F.lower(o) == F.lower(F.col("origin"))))
-    method = F.exists("methods", lambda m: F.lower(m) == F.lower(F.col("method")))
-    hit = requests.join(small(rules), origin & method).groupBy("request_id").agg(F.min("rule_idx").alias("rule_idx"))
-    return requests.join(hit, "request_id", "left").select("request_id", "rule_idx")
+    """requests(request_id, origin, method) with the index of the first rule that allows both; rules(rule_idx, origins,
+    methods) of a site are few, each request reads them as a list."""
+    good = F.filter("rules", lambda r: F.exists(r["origins"], lambda o: (o == "*") | (F.lower(o) == F.lower(F.col("origin")))) & F.exists(r["methods"], lambda m: F.lower(m) == F.lower(F.col("method"))))
+    return with_list(requests, rules.select("rule_idx", "origins", "methods"), "rules").select("request_id", F.try_element_at(good, F.lit(1))["rule_idx"].alias("rule_idx"))
 
 
 def stale_uploads(uploads: DataFrame, now: int, older_than: int) -> DataFrame:
@@ -153,11 +173,16 @@ def retryable(status: Column, network_error: Column) -> Column:
     return network_error | status.isin(429, 500, 502, 503, 504)
 
 
-def cached_locations(lookups: DataFrame, sets: DataFrame, ttl: int) -> DataFrame:
+def cached_locations(lookups: DataFrame, sets: DataFrame, ttl: int, block: int = 1_000_000) -> DataFrame:
     """lookups(request_id, vid, at) against sets(vid, at): a hit if the last set before or at that time is not too old.
 
-    An as-of join by one window: both sides in order of time, the last set carried forward."""
+    An as-of join: both sides in order of time, the last set carried forward.  It is carried within blocks of time by one
+    window, and across blocks by a window over one row a block, so that a volume that most ask for is spread too."""
     both = lookups.select("vid", "at", F.lit(1).alias("side"), "request_id").unionByName(sets.select("vid", "at", F.lit(0).alias("side"), F.lit(None).cast("long").alias("request_id")))
-    order = Window.partitionBy("vid").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("set_at", F.last(F.when(F.col("side") == 0, F.col("at")), ignorenulls=True).over(order)).where("side = 1")
-    return seen.select("request_id", "vid", "at", "set_at", F.coalesce(F.col("at") <= F.col("set_at") + ttl, F.lit(False)).alias("hit"))
+    both = both.withColumn("block", F.floor(F.col("at") / block))
+    order = Window.partitionBy("vid", "block").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("own", F.max(F.when(F.col("side") == 0, F.col("at"))).over(order))
+    earlier = Window.partitionBy("vid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("vid", "block").agg(F.max(F.when(F.col("side") == 0, F.col("at"))).alias("last")).withColumn("carried", F.max("last").over(earlier)).select("vid", "block", "carried")
+    found = seen.where("side = 1").join(carried, ["vid", "block"]).withColumn("set_at", F.coalesce("own", "carried"))
+    return found.select("request_id", "vid", "at", "set_at", F.coalesce(F.col("at") <= F.col("set_at") + ttl, F.lit(False)).alias("hit"))

@@ -31,3 +31,14 @@ def prefix_range(column: Column, prefix: str) -> Column:
 def small(rules: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A rule table marked for broadcast if it is as small as it should be, or as it is."""
     return F.broadcast(rules) if rules.limit(most + 1).count() <= most else rules
+
+
+def is_small(rules: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    return rules.limit(most + 1).count() <= most
+
+
+def with_list(rows: DataFrame, rules: DataFrame, name: str) -> DataFrame:
+    """rows, each with all rules as one sorted array: for few rules, so that matching them needs no shuffle at all.
+    Rules are sorted by their columns from left to right."""
+    every = rules.agg(F.array_sort(F.collect_list(F.struct(*rules.columns))).alias(name))
+    return rows.crossJoin(F.broadcast(every))

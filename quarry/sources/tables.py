@@ -57,3 +57,13 @@ def oracle(sql: str) -> str:
     if sql.lower().startswith("with recursive "):
         return "with recursive " + ", ".join(heads) + ", " + sql[len("with recursive ") :]
     return "with " + ", ".join(heads) + (", " + sql[5:] if sql.lower().startswith("with ") else " " + sql)
+
+
+def write_entries(entries: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Entries as Parquet laid out for listings: files hold ranges of (dir, name) in order, so that the statistics of files
+    and row groups prune a listing to where it lies.  Ranges also part a directory that holds most of the entries."""
+    from pyspark.sql import functions as F
+
+    keys = [F.col("dir"), F.col("name")]
+    dealt = entries.repartitionByRange(partitions, *keys) if partitions else entries.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)

@@ -114,6 +114,19 @@ def test_pages(spark, entries):
     assert namespace.list_directory(entries, "/none").count() == 0
 
 
+def test_stored_entries_are_pruned(spark, tmp_path):
+    from quarry.sources.tables import table, write_entries
+
+    write_entries(table(spark, "/root/testdata/sf0.01", "f_entries"), str(tmp_path / "e"), 8)
+    stored = spark.read.parquet(str(tmp_path / "e"))
+    page = namespace.list_directory(stored, "/buckets/src1/en", start="doc-00000100", prefix="doc-", limit=5).select("name", "file_size")
+    plan = page._jdf.queryExecution().toString()
+    assert "EqualTo(dir,/buckets/src1/en)" in plan and "GreaterThan(name,doc-00000100)" in plan and "StringStartsWith(name,doc-)" in plan
+    assert "content" not in plan.split("ReadSchema")[1].split("\n")[0] and "TakeOrderedAndProject" in plan
+    files = {r.f for r in stored.where("dir = '/buckets/src1/en'").select(F.input_file_name().alias("f")).collect()}
+    assert len(files) <= 2 < len(list((tmp_path / "e").glob("*.parquet")))
+
+
 def test_deletes_and_renames(entries):
     assert sorted(names(namespace.delete_children(entries, "/a"))) == ["/ab/q"]
     assert sorted(names(namespace.delete_tree(entries, "/a/b"))) == ["/a/.h", "/a/x", "/a/y", "/ab/q"]
@@ -165,6 +178,33 @@ def test_lifecycle(spark):
     assert policies.lifecycle(exact, rules, now).first().action == "keep"  # not older than the days
 
 
+def test_many_rules_are_joined(spark, monkeypatch):
+    from quarry.plans import rewrite
+
+    rng, now = random.Random(4), 10**9
+    rules = [(i, rng.choice(["a", "ab", "b", "", "abc"]), rng.choice([0, 10, 50]), rng.choice([0, 5, 20]), f"c{i}", rng.choice(["Enabled", "Disabled"])) for i in range(8)]
+    frame = spark.createDataFrame(rules, "rule_idx int, prefix string, expire_days int, transition_days int, storage_class string, status string")
+    objects = spark.createDataFrame([(f"{rng.choice('abc')}{rng.choice('abc')}{i}", now - rng.randrange(60) * 86400) for i in range(80)], "path string, mtime_sec long")
+    config = spark.createDataFrame([("a", "1"), ("ab", "2"), ("b", "3")], "path_prefix string, v string")
+    few = sorted(map(tuple, policies.lifecycle(objects, frame, now).collect()), key=repr), sorted(map(tuple, policies.longest_prefix(objects, config, {"v": "0"}).collect()))
+    monkeypatch.setattr(policies, "is_small", lambda _: False)
+    assert rewrite.is_small(config)
+    assert few == (sorted(map(tuple, policies.lifecycle(objects, frame, now).collect()), key=repr), sorted(map(tuple, policies.longest_prefix(objects, config, {"v": "0"}).collect())))
+
+
+def test_as_of_by_blocks(spark):
+    rng = random.Random(8)
+    sets = [(rng.randrange(3), rng.randrange(200)) for _ in range(30)]
+    lookups = [(i, rng.randrange(4), rng.randrange(200)) for i in range(200)]
+    want = set()
+    for i, v, at in lookups:
+        last = max((t for w, t in sets if w == v and t <= at), default=None)
+        want.add((i, v, at, last, last is not None and at <= last + 20))
+    for block in (10, 10**6):
+        got = policies.cached_locations(spark.createDataFrame(lookups, "request_id long, vid long, at long"), spark.createDataFrame(sets, "vid long, at long"), 20, block)
+        assert {tuple(r) for r in got.collect()} == want
+
+
 def test_tiering(spark):
     frame = spark.createDataFrame([("ssd", 48, False), ("hdd", 240, False), ("ssd", 240, True), ("hdd", 48, False), ("ssd", 24, False)], "d string, h long, r boolean")
     got = [r.a for r in frame.select(policies.tiering(F.lit(10**9) - F.col("h") * 3600, F.col("d"), F.col("r"), 10**9, 24 * 3600, 168 * 3600).alias("a")).collect()]
