@@ -5,8 +5,9 @@ is 13 consecutive words of an item; an item of fewer words is one window.  The a
 reads each text once, whatever their number; a match marks the words it covers, and words are mapped
 back to places in the original text.
 
-Scale: documents never move; there is no shuffle.  The items are the stated query set: the automaton of a block of at
-most BLOCK bytes of items is broadcast.  A larger set takes several blocks, each another pass in the same stage.
+Scale: documents never move; there is no shuffle.  The items are the stated query set; up to BLOCK bytes of them are
+broadcast and a worker holds their automaton.  A larger set is cut into blocks of that size, and each block is another
+scan with an automaton of its own; what the scans find meets by document, without the texts.
 
 Nulls: a null text or item has no words.  Words that only an item without an id holds are hit but no item is named.
 Repeated rows stay; an item id that is repeated counts once, with all its texts.  Empty tables: no hits.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import as_bytes, chunks, col, id_and_text, spread, total_bytes
+from .frames import as_bytes, chunks, col, fresh, id_and_text, spread, total_bytes
 
 WINDOW = 13
 #: A document is contaminated if one word in so many is hit, at least.
 SHARE = 20
-#: Bytes of items in an automaton; a byte makes up to WINDOW nodes of 32 bytes.
-BLOCK = 1 << 20
+#: Bytes of items in an automaton; a byte makes up to WINDOW nodes of 40 bytes.
+BLOCK = 1 << 18
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -89,53 +90,96 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple]:
     return [tuple(sorted(((r.item_id, r.text.encode()) for r in dealt.filter(F.col("block") == b).collect()), key=str)) for b in range(blocks)]
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
 def find_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans, contaminated) of each row; items: ids in order, spans: places in the
     original text (code points, end exclusive)."""
-    sc, blocks = docs.sparkSession.sparkContext, _items(benchmark, item_col, item_text)
-    sent = [sc.broadcast(b) for b in blocks]
+    text, blocks = id_and_text(docs, id_col, text_col), _items(benchmark, item_col, item_text)
+    if len(blocks) > 1:
+        return _by_blocks(text, blocks, window, share)
+    sent = docs.sparkSession.sparkContext.broadcast(blocks[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [_automaton(b.value, window) for b in sent]
+        machine = _automaton(sent.value, window)
         for x in chunks(batches):
-            rows = [judge(t, machines, share) for t in as_bytes(x.column("text"))]
+            rows = [judge(t, machine, share) for t in as_bytes(x.column("text"))]
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
     names = ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), _SPANS, pa.bool_()]
     schema = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start: int, end: int>>, contaminated boolean"
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
-
-
-def judge(text: bytes, machines: list, share: int) -> tuple:
-    n, hit, items = 0, [], set()
-    for machine in machines:
-        n, more, ids = scan(text, machine)
-        hit, items = hit + more, items | ids
-    if len(machines) > 1 and hit:
-        merged: list[list[int]] = []
-        for a, b in sorted(hit):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        hit = merged
+    return text.mapInArrow(run, schema)
+
+
+def _by_blocks(text: DataFrame, blocks: list[tuple], window: int, share: int, keep_key: bool = False) -> DataFrame:
+    """A scan for each block.  Documents are named by id and digest of the text, so equal rows share what was found."""
+    keyed = text.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+
+    def scanned(block: tuple) -> DataFrame:
+        sent = text.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = _automaton(sent.value, window)
+            for x in chunks(batches):
+                found = [(i, *scan(t, machine)[1:], t) for i, t in enumerate(as_bytes(x.column("text")))]
+                found = [f for f in found if f[1]]
+                at = pa.array([f[0] for f in found], pa.int64())
+                hits = [[{"a": a, "b": b, "start": s["start"], "end": s["end"]} for (a, b), s in zip(f[1], places(f[3], f[1]), strict=True)] for f in found]
+                kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("a", "b", "start", "end")]))
+                yield pa.RecordBatch.from_arrays([x.column("doc_id").take(at), x.column("key").take(at), pa.array(hits, kind), pa.array([sorted(i for i in f[2] if i is not None) for f in found], pa.list_(pa.int64()))], ["doc_id", "key", "hits", "items"])
+
+        return keyed.mapInArrow(run, "doc_id long, key string, hits array<struct<a: int, b: int, start: int, end: int>>, items array<long>")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in chunks(batches):
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("key"), pa.array([len(normal_words(t)) for t in as_bytes(x.column("text"))], pa.int64())], ["doc_id", "key", "n_words"])
+
+    every = reduce(DataFrame.unionByName, [scanned(b) for b in blocks]).distinct()
+    # a document has as many rows here as there are blocks, at most
+    met = every.groupBy("doc_id", "key").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    empty = F.array().cast("array<struct<a: int, b: int, start: int, end: int>>")
+    last = lambda m: F.element_at(m, -1)
+    joined = lambda m, h: F.struct(last(m)["a"].alias("a"), F.greatest(last(m)["b"], h["b"]).alias("b"), last(m)["start"].alias("start"), F.greatest(last(m)["end"], h["end"]).alias("end"))
+    merged = F.aggregate("hits", empty, lambda m, h: F.when((F.size(m) > 0) & (h["a"] <= F.try_element_at(m, F.lit(-1))["b"]), F.concat(F.slice(m, 1, F.size(m) - 1), F.array(joined(m, h)))).otherwise(F.concat(m, F.array(h))))
+    met = met.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), merged.alias("hits"), "items")
+    own = keyed.mapInArrow(count, "doc_id long, key string, n_words long")
+    out = own.join(met, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").withColumn("hits", F.coalesce("hits", empty))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["b"] - h["a"])
+    spans = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))
+    out = out.select("doc_id", *["key"] * keep_key, "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), spans.alias("spans"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def places(text: bytes, stretches: list[tuple[int, int]]) -> list[dict]:
+    """Stretches of words as places in the text, in code points."""
+    if not stretches:
+        return []
+    at = [m.span() for m in _WORD.finditer(text.decode())]
+    return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in stretches]
+
+
+def judge(text: bytes, machine, share: int) -> tuple:
+    n, hit, items = scan(text, machine)
     covered = sum(b - a for a, b in hit)
-    spans = []
-    if hit:
-        places = [m.span() for m in _WORD.finditer(text.decode())]
-        spans = [{"start": places[a][0], "end": places[b - 1][1]} for a, b in hit]
-    return n, covered, sorted(i for i in items if i is not None), spans, covered > 0 and share * covered >= n
+    return n, covered, sorted(i for i in items if i is not None), places(text, hit), covered > 0 and share * covered >= n
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """The rows of docs that aren't contaminated, as they are."""
-    sc, blocks = docs.sparkSession.sparkContext, _items(benchmark, item_col, item_text)
-    sent, at = [sc.broadcast(b) for b in blocks], docs.columns.index(text_col)
+    blocks, at = _items(benchmark, item_col, item_text), docs.columns.index(text_col)
+    if len(blocks) > 1:
+        text = id_and_text(docs, id_col, text_col)
+        name, key = fresh(docs, "bad_id"), fresh(docs, "bad_key")
+        digest = lambda c: F.md5(F.coalesce(c.cast("string"), F.lit("")))
+        judged = _by_blocks(text, blocks, window, share, keep_key=True).filter("contaminated").select(F.col("doc_id").alias(name), F.col("key").alias(key)).distinct()
+        return docs.join(judged, col(docs, id_col).cast("long").eqNullSafe(F.col(name)) & (digest(col(docs, text_col)) == F.col(key)), "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(blocks[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [_automaton(b.value, window) for b in sent]
+        machine = _automaton(sent.value, window)
         for x in chunks(batches, at):
-            yield x.filter(pa.array([not judge(t, machines, share)[-1] for t in as_bytes(x.column(at))], pa.bool_()))
+            yield x.filter(pa.array([not judge(t, machine, share)[-1] for t in as_bytes(x.column(at))], pa.bool_()))
 
     return spread(docs).mapInArrow(run, docs.schema)

@@ -246,12 +246,18 @@ def test_decontamination(spark, odd, docs, rows, sf, monkeypatch):
     pick = ("doc_id", "n_words", "n_hit", "items", "contaminated")
     got = decontaminate.find_overlap(docs, benchmark).select(*pick).collect()
     assert any(r.contaminated for r in got)
+    whole = decontaminate.find_overlap(docs, benchmark).collect()
     same(got, overlap_by_hand(rows, items))
     own = [(1, "Sat on the MAT"), (1, "old mill"), (2, None), (3, ""), (None, "dog sat"), (4, "word " * 20)]
     few = spark.createDataFrame(own, "item_id long, text string")
     same(decontaminate.find_overlap(odd, few).select(*pick).collect(), overlap_by_hand(ODD, own))
-    monkeypatch.setattr(decontaminate, "BLOCK", 30)  # several automata
-    same(decontaminate.find_overlap(odd, few).select(*pick).collect(), overlap_by_hand(ODD, own))
+    for block in (30, 2000):  # several automata
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        same(decontaminate.find_overlap(odd, few).select(*pick).collect(), overlap_by_hand(ODD, own))
+        same(decontaminate.find_overlap(docs, benchmark).collect(), whole)
+        want = [i for i, *_, bad in overlap_by_hand(ODD, own) if not bad]
+        assert sorted((r.doc_id for r in decontaminate.decontaminate(odd, few).collect()), key=str) == sorted(want, key=str)
+    monkeypatch.undo()
     spans = decontaminate.find_overlap(spark.createDataFrame([(1, "Hé! Sat, on (THE) mat.")], "doc_id long, text string"), few).first().spans
     assert [(s.start, s.end) for s in spans] == [(4, 21)]
     clean = decontaminate.decontaminate(odd, few)
