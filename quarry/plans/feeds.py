@@ -87,7 +87,20 @@ def _(t):
     return ops.alive(t("events").selectExpr("user_id as node", "1704067200 - event_id % 100 as at"), NOW)
 
 
-@query("st9_locks")
+@query(
+    "st9_locks",
+    """with recursive l as (select 'lock' || user_id % 9 as name, event_id as seq, event_id % 6 = 5 as unlocks, 'o' || event_id % 3 as own, case when event_id % 4 = 0 then 't' || (event_id - 9) else '' end as tok,
+      row_number() over (partition by user_id % 9 order by event_id) as k from events),
+    s as (select name, seq, k, null::varchar as held, 0::bigint as until_, null::varchar as htok, unlocks, own, tok from l where k = 1
+      union all select l.name, l.seq, l.k, case when granted then s.own when freed then null else s.held end, case when granted then s.seq + 40 else s.until_ end, case when granted then 't' || s.seq when freed then null else s.htok end, l.unlocks, l.own, l.tok
+        from (select *, not unlocks and not coalesce(held is not null and until_ > seq and ((held <> own and htok <> tok) or (tok <> '' and htok <> tok)), false) as granted, unlocks and held is not null and htok = tok as freed from s) s
+        join l on l.name = s.name and l.k = s.k + 1)
+    select name, seq, case when unlocks then case when held is null then 'not found' when htok <> tok then 'not owner' else 'released' end
+        when held is not null and until_ > seq and held <> own and htok <> tok then 'held' when held is not null and until_ > seq and tok <> '' and htok <> tok then 'not owner' else 'acquired' end as outcome,
+      case when unlocks then null when held is not null and until_ > seq and held <> own and htok <> tok then held when held is not null and until_ > seq and tok <> '' and htok <> tok then null else own end as owner,
+      case when unlocks then null when coalesce(held is not null and until_ > seq and ((held <> own and htok <> tok) or (tok <> '' and htok <> tok)), false) then null else 't' || seq end as token
+    from s""",
+)
 def _(t):
     e = t("events")
     return ops.locks(e.selectExpr("concat('lock', user_id % 9) as name", "event_id as seq", "event_id as at", "case when event_id % 6 = 5 then 'unlock' else 'lock' end as kind", "concat('o', event_id % 3) as owner", "case when event_id % 4 = 0 then concat('t', event_id - 9) end as token", "cast(40 as bigint) as ttl"))

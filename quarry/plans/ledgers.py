@@ -56,12 +56,24 @@ def _(t):
     return ops.quota_check(log.where("seq >= 5000").select(F.col("seq").alias("request_id"), "user_id", F.abs("delta").alias("bytes")), quotas)
 
 
-@query("w5_admit")
+@query(
+    "w5_admit",
+    """with recursive l as (select user_id, seq, abs(delta) as b, row_number() over (partition by user_id order by seq) as k from f_quota_log),
+    r as (select user_id, seq, k, b <= 50000 as admitted, case when b <= 50000 then b else 0 end as used from l where k = 1
+      union all select l.user_id, l.seq, l.k, r.used + b <= 50000, r.used + case when r.used + b <= 50000 then b else 0 end from r join l on l.user_id = r.user_id and l.k = r.k + 1)
+    select user_id, seq, admitted, cast(used as bigint) as used from r""",
+)
 def _(t):
     return ops.admit(t("f_quota_log").select("user_id", "seq", F.abs("delta").alias("bytes")), 50_000)
 
 
-@query("w11_token_bucket")
+@query(
+    "w11_token_bucket",
+    """with recursive l as (select 'h' || user_id % 20 as host, event_id as seq, event_id / 10.0::double as t, row_number() over (partition by user_id % 20 order by event_id) as k from events),
+    r as (select host, seq, k, t, 5.0::double as had, true as allowed from l where k = 1
+      union all select host, seq, k, t, had, had >= 1 from (select l.host, l.seq, l.k, l.t, least(5.0::double, r.had - (case when r.allowed then 1 else 0 end) + greatest(0.0::double, l.t - r.t) * 0.3::double) as had from r join l on l.host = r.host and l.k = r.k + 1))
+    select host, seq, allowed from r""",
+)
 def _(t):
     return ops.token_bucket(t("events").select(F.concat(F.lit("h"), (F.col("user_id") % 20).cast("string")).alias("host"), F.col("event_id").alias("seq"), (F.col("event_id") / 10.0).alias("at")), 0.3, 5.0)
 
@@ -71,7 +83,14 @@ def _(t):
     return ops.simulate_cache(t("events").select((F.col("user_id") % 4).alias("cache"), F.col("event_id").alias("seq"), (F.col("event_id") * 7919 % 113).alias("item"), (F.col("event_id") * 7919 % 113 * 10 + 5).alias("size")), 20_000)
 
 
-@query("w13_copy_progress")
+@query(
+    "w13_copy_progress",
+    """with recursive l as (select user_id % 10 as copy_id, seq, abs(delta) as b, row_number() over (partition by user_id % 10 order by seq) as k from f_quota_log),
+    r as (select copy_id, seq, k, b as done, least(100, b * 100 // 1000000) as pct, least(100, b * 100 // 1000000) >= 5 as emits, case when b * 100 // 1000000 >= 5 then least(100, b * 100 // 1000000) else 0 end as shown from l where k = 1
+      union all select copy_id, seq, k, done, pct, pct >= shown + 5 or (pct = 100 and shown <> 100), case when pct >= shown + 5 or (pct = 100 and shown <> 100) then pct else shown end
+        from (select l.copy_id, l.seq, l.k, r.done + l.b as done, least(100, (r.done + l.b) * 100 // 1000000) as pct, r.shown from r join l on l.copy_id = r.copy_id and l.k = r.k + 1))
+    select copy_id, seq, cast(pct as bigint) as percent from r where emits""",
+)
 def _(t):
     return ops.copy_progress(t("f_quota_log").select((F.col("user_id") % 10).alias("copy_id"), "seq", F.abs("delta").alias("bytes"), F.lit(1_000_000).cast("long").alias("total")))
 
@@ -81,7 +100,13 @@ def _(t):
     return ops.allocate_ids(t("events").selectExpr("user_id % 5 as stream", "event_id as seq", "event_id % 4 as n"))
 
 
-@query("w3_saved_ceilings")
+@query(
+    "w3_saved_ceilings",
+    """with recursive l as (select user_id % 5 as stream, event_id as seq, greatest(1, event_id % 4) as n, row_number() over (partition by user_id % 5 order by event_id) as k from events),
+    r as (select stream, seq, k, n as cur, 100 + n as ceiling from l where k = 1
+      union all select l.stream, l.seq, l.k, r.cur + n, case when r.cur + n > r.ceiling then r.cur + 100 + n else r.ceiling end from r join l on l.stream = r.stream and l.k = r.k + 1)
+    select stream, seq, cast(ceiling as bigint) as ceiling from r""",
+)
 def _(t):
     return ops.saved_ceilings(t("events").selectExpr("user_id % 5 as stream", "event_id as seq", "event_id % 4 as n"), 100)
 

@@ -96,9 +96,12 @@ def _(t):
     return t("f_needle_log").select("pos", codes.needle_disk_size(F.col("size"), p % 5, p % 4, p % 7, p % 2 == 0, p % 11 == 0, version).alias("n"))
 
 
-@query("f11_crc32")
+@query(
+    "f11_crc32",
+    """select inode, xor(list_reduce(list_transform(string_split(name, ''), lambda c: ord(c)::bigint), lambda h, b: list_reduce(range(0, 8), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end, xor(h, b)), 4294967295::bigint), 4294967295) as crc from f_entries""",
+)
 def _(t):
-    return t("f_entries").select("inode", F.crc32("content").alias("crc"))
+    return t("f_entries").select("inode", F.crc32("name").alias("crc"))
 
 
 @query("f12_sha256", "select inode, sha256(content) as h from f_entries")
@@ -111,7 +114,11 @@ def _(t):
     return t("f_entries").select("inode", F.md5("content").alias("h"))
 
 
-@query("f14_fnv1a")
+@query(
+    "f14_fnv1a",
+    """select dir, cast(case when h >= 9223372036854775808 then h - 18446744073709551616 else h end as bigint) as h from (select distinct dir,
+      list_reduce(list_transform(string_split(dir, ''), lambda c: ord(c)::hugeint), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616::hugeint, 14695981039346656037::hugeint) as h from f_entries)""",
+)
 def _(t):
     return t("f_entries").select("dir").distinct().select("dir", hashing.fnv1a_64(F.col("dir")).alias("h"))
 
@@ -123,7 +130,10 @@ def _(t):
     return t("events").select("event_id", codes.grpc_address(a).alias("grpc"), codes.http_address(dotted).alias("http"))
 
 
-@query("f16_version_id")
+@query(
+    "f16_version_id",
+    "select event_id, array_to_string(list_transform([131621703842267136, 3656158440062976, 101559956668416, 2821109907456, 78364164096, 2176782336, 60466176, 1679616, 46656, 1296, 36, 1], lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', ((1704067200000000000 + event_id) // p % 36 + 1)::integer, 1)), '') as v from events",
+)
 def _(t):
     return t("events").select("event_id", codes.version_id(F.lit(NOW * 1_000_000_000) + F.col("event_id")).alias("v"))
 
