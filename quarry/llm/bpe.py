@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .frames import chunks, id_and_text
 
 #: Pieces and prefixes that a worker remembers (two generations of each at most).
-MEMO = 150_000
+MEMO = 300_000
 #: Longer pieces are not remembered.
 SHORT = 48
 
@@ -135,10 +135,33 @@ class PrefixBpe:
         """last, as far as it takes to read the encoding; goes on from the longest prefix remembered."""
         memo, old, n = self.prefixes, self.prefixes.old, len(data)
         last, i = [-1] * (n + 1), n
-        while i and data[:i] not in memo and data[:i] not in old:
+        while i:
+            token = memo.get(data[:i])
+            if token is None:
+                token = old.get(data[:i])
+            if token is not None:
+                last[i] = token
+                break
             i -= 1
-        for j in range(i, n + 1) if i else range(1, n + 1):
-            self.recall(data, last, j)
+        # step(), written out: this is where the time goes
+        rank, known, longest = self.ranks.get, self.borders.get, self.longest
+        for j in range(i + 1, n + 1):
+            for a in range(j - longest if j > longest else 0, j):
+                token = rank(data[a:j])
+                if token is None:
+                    continue
+                if not a:
+                    break
+                before = last[a]
+                if before < 0:
+                    before = self.recall(data, last, a)
+                stays = known(before << 32 | token)
+                if self.border(before, token) if stays is None else stays:
+                    break
+            else:
+                raise ValueError("the ranks have no token for a byte")
+            last[j] = token
+            memo.keep(data[:j], token)
         return last
 
     def tokens(self, last: list[int]) -> list[int]:
