@@ -80,10 +80,10 @@ def _(t):
     return ops.source_nodes(t("f_topology"), t("f_nodes"))
 
 
-@query("j7_candidates", "select vid, n.node as target from (select distinct vid from f_topology where vid % 50 = 0) v, f_nodes n where free_slots > 0 and not exists (select 1 from f_topology x where x.vid = v.vid and x.node = n.node)")
+@query("j7_candidates", f"with {_LACK} select vid, n.node as target from lack, f_nodes n where free_slots > 0 and not exists (select 1 from f_topology x where x.vid = lack.vid and x.node = n.node)")
 def _(t):
     r = t("f_topology")
-    return ops.candidates(r, t("f_nodes"), r.where("vid % 50 = 0"))
+    return ops.candidates(r, t("f_nodes"), ops.census(r, _expected()))
 
 
 @query("j8_stale_volumes", "select node, vid from f_topology where node % 2 = 0 and vid % 3 = 0 and node in (select node from f_topology where node % 2 = 0 and vid % 3 <> 0)")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: 2024-01-01T00:00:00Z: operators take the time as a parameter, the registered queries use this.
 NOW = 1704067200
 
+#: f_topology takes the lines of every tenth order, so that volumes have from one to a few replicas and some lack copies.
 VIEWS = {
     "f_entries": """select doc_id as inode, concat('/buckets/', source, '/', lang) as dir,
         concat(case when doc_id % 17 = 0 then '.' else '' end, 'doc-', lpad(cast(doc_id as varchar(20)), 8, '0')) as name,
