@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes that a worker handles at once; bounds its memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Tables up to this size by Spark's own estimate are dealt to all cores if their files don't do so.
 SMALL = 64 << 20
 
