@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .frames import chunks, id_and_text
 
 #: Pieces and prefixes that a worker remembers (two generations of each at most).
-MEMO = 200_000
+MEMO = 250_000
 #: Longer pieces are not remembered.
 SHORT = 48
 
