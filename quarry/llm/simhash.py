@@ -172,13 +172,17 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
     return out.filter("kind = 0").select("a", "b").unionByName(rest)
 
 
+def roots(own: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
+    """(fp, least, root) of each fingerprint of own(doc_id, fp): its smallest id, and what names its component."""
+    fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = connected_components(links(fps.select("fp"), radius, pairwise))
+    return checkpointed(fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
     """(doc_id, fp, component_id) of each row; see the module's notes."""
     own = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(fps.select("fp"), radius, pairwise))
-    placed = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = checkpointed(placed)
+    placed = roots(own, radius, pairwise)
     # computed first, so that the join below has a shuffle of its own on either side and AQE can split a large component
     component = checkpointed(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     to = placed.join(component, "root").select("fp", "component_id")
@@ -189,8 +193,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs, of each component only the one with the smallest id, once if it is repeated.
 
     Rows with a null id have no name to be chosen by; they stay."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that deduplicate keeps, given found(doc_id, component_id)."""
     keep, row = fresh(docs, "keep"), fresh(docs, "row")
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
     best = found.filter("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
     named = docs.filter(col(docs, id_col).isNotNull())
     stay = named.join(best, col(named, id_col).cast("long") == F.col(keep), "left_semi")
