@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 from quarry.operators.feeds import subscribe
 
 
-def read_events(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int = 100) -> DataFrame:
-    """Events of the files of that name in a folder, and of those that come later."""
-    own = spark.read.parquet(f"{folder}/{files}").schema
-    read = spark.readStream.schema(own).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_trigger).parquet(folder)
-    return read.withColumn("ts", F.col("ts").cast("timestamp"))
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
+def read_events(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int | None = None) -> DataFrame:
+    """Events of the files of that name in a folder, or of the part files if it is a table's folder, and of those that come later.
+
+    Without per_trigger all files that are there make one batch: a table's files come in any order of time, and rows that
+    come late across batches are dropped by watermarks."""
+    path = f"{folder}/{files}"
+    read = spark.readStream.schema(spark.read.parquet(path).schema)
+    if per_trigger:
+        read = read.option("maxFilesPerTrigger", per_trigger)
+    found = read.parquet(path) if _is_folder(spark, path) else read.option("pathGlobFilter", files).parquet(folder)
+    return found.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def as_changes(events: DataFrame) -> DataFrame:
@@ -53,10 +64,15 @@ def replicate_to(changes: DataFrame, apply: Callable[[DataFrame, int], None], ch
 
 
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, run through, as a table in memory: for results that are small."""
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that is there now, run through, as a table: appended rows, which grow with the stream, in the shared folder; other
+    modes' results, which are small, in memory."""
+    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
+    if mode != "append":
+        stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+    out = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}"
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode(mode).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def limit_rate(requests: DataFrame, rate: float, burst: float) -> DataFrame:

@@ -56,3 +56,15 @@ def test_sessions(spark, tmp_path):
     frame = spark.createDataFrame([(1, at(0)), (1, at(20)), (1, at(100)), (2, at(5))], "user_id long, ts timestamp")
     got = feed.run_to_table(feed.session_counts(written(spark, tmp_path / "in", [frame]), "30 seconds"), "complete").collect()
     assert sorted((r.user_id, r.n) for r in got) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_events_in_part_files(spark, sf, tmp_path):
+    from quarry import registry
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    # in no order of time, more files than a batch used to take
+    events.orderBy(F.xxhash64("event_id")).repartition(120).write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()["st3_subscribe_stream"](spark, str(tmp_path))
+    want = registry.queries()["st3_subscribe_stream"](spark, sf)
+    assert got.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "LocalTableScan" not in got._jdf.queryExecution().optimizedPlan().toString() and got.inputFiles()
