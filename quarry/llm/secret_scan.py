@@ -212,9 +212,10 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 
     clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     clean = F.regexp_replace(clean, ASSIGN_ANYWHERE, mask)
-    changed = F.size(spans) > 0
     new = fresh(found, "clean")
-    out = found.withColumn(new, F.when(changed, clean).otherwise(text))
+    out = found.withColumn(new, clean)
+    # a long value behind a short one has no span of its own
+    changed = (F.size(spans) > 0) | ~F.col(new).eqNullSafe(text)
     columns = []
     for c in docs.columns:
         if c == text_col:
