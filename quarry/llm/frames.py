@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a worker handles at once; bounds its memory.
@@ -16,13 +17,22 @@ CHUNK_BYTES = 2 << 20
 SMALL = 64 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder; its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Where it is not set, a folder of this machine in local mode, else an error: the
+    machines of a cluster don't see each other's folders."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+
 
-    The session's spark.checkpoint.dir is used; a folder of our own only where none is set (tests)."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared checkpoint folder; its lineage ends there."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -42,8 +52,10 @@ def fresh(df: DataFrame, name: str) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """df; a small table in fewer pieces than there are cores (one file, one row group) is dealt out first."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SMALL and df.rdd.getNumPartitions() < cores else df
+    plans = df._jdf.queryExecution()
+    if int(str(plans.optimizedPlan().stats().sizeInBytes())) > SMALL or "Exchange" in plans.executedPlan().toString():
+        return df  # large, or dealt out already (and counting its pieces would run its shuffles)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from quarry.llm import decontaminate, queries, secret_scan, simhash, weak_quality
+from quarry.llm import decontaminate, queries, secret_scan, verified, weak_quality
 
 
 def test_stages(spark, sf):
@@ -19,7 +19,7 @@ def test_stages(spark, sf):
         if k == 0:
             assert set(ids) == want[0]
         elif k == 1:
-            found = simhash.near_duplicates(docs, radius=corpus_pipeline.NEAR_RADIUS).collect()
+            found = verified.verified_duplicates(docs).collect()
             assert ids == sorted({r.component_id for r in found})
         elif k == 2:
             bad = {r.doc_id for r in decontaminate.find_overlap(docs, bench).collect() if r.contaminated}
