@@ -14,10 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import bpe, decontaminate, secret_scan, verified, weak_quality
 from quarry.llm.queries import tokenizer_file, tokenizer_pattern
 
-#: Bits that fingerprints of texts to be compared may differ by here.  Copies with a few changed words differ by 3 to 8 bits
-#: (the operator's own query links up to 2, as its contract has it); unrelated texts differ by about 32.
-NEAR_RADIUS = 6
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -25,9 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id.  Fingerprints propose, and only
-    pairs that share 0.8 of their five-word shingles are linked."""
-    return verified.deduplicate(docs, radius=NEAR_RADIUS)
+    """One document of each group of near duplicates stays: the one with the smallest id.  Covering tables of SimHash
+    fingerprints propose, and only pairs that share 0.8 of their five-word shingles are linked."""
+    return verified.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
