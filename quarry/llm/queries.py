@@ -40,7 +40,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The query's list is made from the hosts in pages by rule: a host whose MD5 starts with one of 0 to 5 goes on the list, comes
-#: off it and goes on again; so do site domains and the first path below a host.  Fetch times are spread over 2024.
+#: off it and goes on again; so do site domains and the first path below a host, which is written in one of four
+#: ways: as it is, without its last slash, with the host in upper case and a port, or the host alone with a scheme.
+#: Fetch times are spread over 2024.
 _START, _YEAR = 1704067200, 31622400
 _ENTRIES = """
 with hosts as (
@@ -50,7 +52,9 @@ with hosts as (
   union all
   select distinct 'domain', site, md5(site) from (select regexp_extract(host, '([^.]+[.][^.]+)$', 1) as site from hosts) where substr(md5(site), 1, 1) < '4'
   union all
-  select distinct 'prefix', p, md5(p) from (select concat(lower({host}), {path}) as p from pages) where substr(md5(p), 1, 1) < '4'
+  select distinct 'prefix', case when substr(md5(p), 10, 1) < '4' then p when substr(md5(p), 10, 1) < '8' then concat(h, regexp_replace(d, '/$', ''))
+    when substr(md5(p), 10, 1) < 'c' then concat(upper(h), ':8080', d) else concat('https://', upper(h), '.') end, md5(p)
+  from (select lower({host}) as h, {path} as d, concat(lower({host}), {path}) as p from pages) where substr(md5(p), 1, 1) < '4'
 ), timed as (
   select kind, pattern, {hex1} as a, {hex2} as b from named
 )
@@ -175,8 +179,12 @@ from dw left join covered on dw.doc_id = covered.doc_id left join named on dw.do
 _OP3 = (
     "with entries as ("
     + _ENTRIES.format(host="regexp_extract(url, '//([^/?#:@]*)', 1)", path="regexp_extract(url, '//[^/?#]*(/[^/?#]*/)', 1)", hex1="cast('0x' || substr(h, 2, 4) as bigint)", hex2="cast('0x' || substr(h, 6, 4) as bigint)")
-    + r"""), last_action as (
-  select kind, pattern, ts, max(action) as action from entries group by kind, pattern, ts
+    + r"""), plain as (
+  select kind, regexp_replace(pattern, '^https://', '') as p, action, ts from entries
+), normal as (
+  select kind, regexp_replace(regexp_replace(lower(split_part(p, '/', 1)), ':[0-9]*$', ''), '[.]$', '') || substr(p, length(split_part(p, '/', 1)) + 1) as pattern, action, ts from plain
+), last_action as (
+  select kind, pattern, ts, max(action) as action from normal group by kind, pattern, ts
 ), spans as (
   select kind, pattern, action, ts as from_at, coalesce(lead(ts) over (partition by kind, pattern order by ts), 4611686018427387904) as until_at from last_action
 ), captures as (

@@ -2,10 +2,12 @@
 
 A list is a log of dated entries: a domain or a URL prefix is put on it or taken off it.  Entries of one pattern become
 validity intervals [from, until).  A capture is asked about under its host and the domains above it, and under each prefix
-of host and path that ends at a slash or at its end; the as-of join finds the intervals that were open when it was fetched.
+of host and path that ends before a slash, after one, or at the end; the as-of join finds the intervals that were open when it was
+fetched.  So example.com/a is for /a and all below it, example.com/a/ for what is below it, example.com for the whole host.
 
 At one time the later kind of action wins: an entry that is added and removed at the same second is off.  Hosts are
-compared in lower case, without user, port and trailing dot; paths as they are, without query and fragment.
+compared in lower case, without scheme, user, port and trailing dot, in URLs and in patterns; paths as they are, without
+the URL's query and fragment (so a pattern with a query matches nothing).
 
 Scale: only names and times move, never pages.  The intervals are broadcast up to BROADCAST rows; beyond that the join is
 an ordinary equi-join with a range condition, in which AQE splits a host that holds a third of all captures.  Matches
@@ -13,6 +15,7 @@ are added up in each task before they are dealt out.
 
 Nulls: a null, empty or relative URL, or a null time, matches nothing.  Null patterns, kinds, times or unknown actions make no
 interval.  Repeated captures stay, each with its result; repeated entries count once.  Empty tables: nothing is blocked.
+A long URL makes two patterns for each of its slashes.  Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -40,16 +43,23 @@ def keys_of(url: Column) -> Column:
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     path = F.regexp_extract(url, PATH, 1)
     parts = F.split(path, "/", -1)  # the first is empty
-    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), F.lit("/")).otherwise(F.lit(""))))
-    prefixes = F.transform(F.array_distinct(upto), lambda p: F.struct(F.lit("prefix").alias("kind"), p.alias("pattern")))
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.array_join(F.slice(parts, 1, i), "/")))
+    both = F.concat(upto, F.transform(F.slice(upto, 1, F.size(upto) - 1), lambda p: F.concat(p, F.lit("/"))))
+    prefixes = F.transform(F.array_distinct(both), lambda p: F.struct(F.lit("prefix").alias("kind"), p.alias("pattern")))
     return F.when(host != "", F.concat(domains, prefixes)).otherwise(F.array().cast("array<struct<kind: string, pattern: string>>"))
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """A list's pattern with its host as host_of gives it."""
+    bare = F.regexp_replace(pattern, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?", "")
+    return F.concat(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?#:]*)", 1)), r"\.$", ""), F.regexp_extract(bare, r"(?s)^[^/?#]*(.*)$", 1))
+
+
 def intervals(entries: DataFrame, kind: str = "kind", pattern: str = "pattern", action: str = "action", at: str = "at") -> DataFrame:
     """(kind, pattern, from_at, until_at) while each pattern was on the list; until_at is FOREVER for those still on it."""
     e = entries.select(col(entries, kind).cast("string").alias("kind"), col(entries, pattern).cast("string").alias("pattern"), col(entries, action).cast("string").alias("action"), col(entries, at).cast("long").alias("at"))
     e = e.filter("kind is not null and pattern is not null and at is not null and action in ('add', 'remove')")
-    e = e.withColumn("pattern", F.when(F.col("kind") == "domain", F.regexp_replace(F.lower("pattern"), r"\.$", "")).otherwise(F.col("pattern")))
+    e = e.withColumn("pattern", normal_pattern(F.col("pattern")))
     e = e.groupBy("kind", "pattern", "at").agg(F.max("action").alias("action"))  # remove is the greater
     order = Window.partitionBy("kind", "pattern").orderBy("at")
     e = e.withColumn("before", F.lag("action").over(order)).filter(F.col("before").isNull() | (F.col("before") != F.col("action")))
