@@ -9,13 +9,16 @@ Texts are split by the tokenizer's pattern first, whole texts, nothing cut.  Wor
 pieces and prefixes in bounded memory.  The merge ranks are one file of fixed size that the driver reads and broadcasts.
 
 Nulls: a null text is the empty text (no tokens).  A null id stays null.  Repeated rows stay.  Empty table: empty.
+A long piece takes 4 bytes of memory for each of its bytes.  Ids are whole numbers.  Only the id and the text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +32,8 @@ from .frames import chunks, id_and_text
 MEMO = 250_000
 #: Longer pieces are not remembered.
 SHORT = 48
+#: The pieces of longer texts are made one by one, not as a list.
+LONG = 1 << 20
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -37,7 +42,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Recent(dict):
-    """A memo of bounded size that forgets the older half."""
+    """A memo of bounded size that forgets the older half.  Keys over SHORT are made anew each time, so its bytes are bounded too."""
 
     def __init__(self, make, most: int):
         super().__init__()
@@ -47,7 +52,8 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.keep(key, value)
+        if len(key) <= SHORT:
+            self.keep(key, value)
         return value
 
     def keep(self, key, value) -> None:
@@ -69,6 +75,11 @@ class PrefixBpe:
         self.pairs: dict[tuple[int, int], int] = {}
         self.borders: dict[int, bool] = {}
         self.prefixes = Recent(None, MEMO)
+        ends: dict[bytes, set[int]] = {}
+        for token in ranks:
+            ends.setdefault(token[-2:], set()).add(len(token))
+        #: To two last bytes, the sizes of the tokens that end so, longest first; one byte is a token itself.
+        self.sizes = {end: sorted(n | {1}, reverse=True) for end, n in ends.items() if len(end) == 2}
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
@@ -106,8 +117,9 @@ class PrefixBpe:
     def step(self, data: bytes, last: list[int], i: int) -> int:
         """The last token of data[:i], from those of shorter prefixes (made if need be; last[0] is unused)."""
         get = self.ranks.get
-        for a in range(max(0, i - self.longest), i):
-            token = get(data[a:i])
+        for n in self.sizes.get(data[i - 2 : i], (1,)) if i > 1 else (1,):
+            token = get(data[i - n : i]) if n <= i else None
+            a = i - n
             if token is not None and (not a or self.border(last[a] if last[a] >= 0 else self.recall(data, last, a), token)):
                 return token
         raise ValueError("the ranks have no token for a byte")
@@ -126,7 +138,7 @@ class PrefixBpe:
 
     def prefix_table(self, data: bytes) -> list[int]:
         """last, whole."""
-        last = [-1]
+        last = array("i", [-1])
         for i in range(1, len(data) + 1):
             last.append(self.step(data, last, i))
         return last
@@ -144,9 +156,12 @@ class PrefixBpe:
                 break
             i -= 1
         # step(), written out: this is where the time goes
-        rank, known, longest = self.ranks.get, self.borders.get, self.longest
+        rank, known, sizes = self.ranks.get, self.borders.get, self.sizes.get
         for j in range(i + 1, n + 1):
-            for a in range(j - longest if j > longest else 0, j):
+            for size in sizes(data[j - 2 : j], (1,)) if j > 1 else (1,):
+                a = j - size
+                if a < 0:
+                    continue
                 token = rank(data[a:j])
                 if token is None:
                     continue
@@ -164,7 +179,7 @@ class PrefixBpe:
             memo.keep(data[:j], token)
         return last
 
-    def tokens(self, last: list[int]) -> list[int]:
+    def tokens(self, last: Sequence[int]) -> list[int]:
         out, i, size = [], len(last) - 1, self.bytes
         while i > 0:
             out.append(last[i])
@@ -223,7 +238,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.bpe = PrefixBpe(ranks)
-        self.pieces = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.memo = Recent(self.piece, MEMO)
         self.plain = {b"%d" % i: t for i, t in self.bpe.bytes.items()}
 
@@ -231,7 +246,12 @@ class Encoder:
         return b" ".join([b"%d" % i for i in self.bpe.encode(text.encode())])
 
     def encode(self, text: str) -> bytes:
-        return b" ".join(map(self.memo.__getitem__, self.pieces(text)))
+        pieces = self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text))
+        return b" ".join(map(self.memo.__getitem__, pieces))
+
+    def forget(self) -> None:
+        """Lets go of what is older; a worker that has done its task may have other work."""
+        self.memo.old, self.bpe.prefixes.old = {}, {}
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.plain.__getitem__, ids.split(b" "))) if ids else b""
@@ -263,6 +283,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             if emit_ids:
                 out.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names)
+        coder.forget()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * emit_ids
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * emit_ids

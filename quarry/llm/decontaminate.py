@@ -1,23 +1,28 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
 
 Texts and items are lower-cased (A-Z) and cut into words of digits, letters and characters beyond ASCII.  A window
-is 13 consecutive words of an item; an item of fewer words is one window.  The automaton holds all windows and
-reads each text once, whatever their number; a match marks the words it covers, and words are mapped
-back to places in the original text.
+is 13 consecutive words of an item; an item of fewer words is one window.  The automaton runs over numbers of words: it holds
+every seventh piece of seven words of each item (and short items whole) and reads each text once.  Every window has such
+a piece in it, whole; so where a piece is found, up to six words of text and item on either side are compared, and windows
+that lie in what agrees are hit.  That is exact, and takes one node for a word of the items, where all windows would take 13.
+Hit words are mapped back to places in the original text.
 
 Scale: documents never move; there is no shuffle.  The items are the stated query set; up to BLOCK bytes of them are
-broadcast and a worker holds their automaton.  A larger set is cut into blocks of that size, and each block is another
-scan with an automaton of its own; what the scans find meets by document, without the texts.
+broadcast and a worker holds their automaton (some 200 MB for 20 MB of items).  Only a set beyond BLOCK is cut into blocks of that size,
+each of which is another scan with an automaton of its own; what the scans find meets by document, without the texts.
 
 Nulls: a null text or item has no words.  Words that only an item without an id holds are hit but no item is named.
-Repeated rows stay; an item id that is repeated counts once, with all its texts.  Empty tables: no hits.
+Repeated rows stay; an item id that is repeated counts once, with all its texts.  Empty tables: no hits.  A long text is read in
+one worker.  Ids are whole numbers.  find_overlap reads only the columns named; decontaminate keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -30,8 +35,8 @@ from .frames import as_bytes, chunks, col, fresh, id_and_text, spread, total_byt
 WINDOW = 13
 #: A document is contaminated if one word in so many is hit, at least.
 SHARE = 20
-#: Bytes of items in an automaton; a byte makes up to WINDOW nodes of 40 bytes.
-BLOCK = 1 << 18
+#: Bytes of items in an automaton.
+BLOCK = 32 << 20
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -40,45 +45,88 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-@lru_cache(maxsize=4)
-def _automaton(items: tuple[tuple[int | None, bytes], ...], window: int):
-    """The automaton, whose values are (number of words, item ids)."""
-    found: dict[bytes, tuple[int, set]] = {}
-    for item, text in items:
-        words = normal_words(text)
-        for i in range(max(1, len(words) - window + 1)) if words else ():
-            some = words[i : i + window]
-            found.setdefault(b" ".join(some), (len(some), set()))[1].add(item)
-    machine = ahocorasick.Automaton()
-    for text, value in found.items():
-        machine.add_word(f" {text.decode()} ", value)
-    if found:
-        machine.make_automaton()
-    return machine if found else None
-
-
-def scan(text: bytes, machine) -> tuple[int, list[tuple[int, int]], set]:
+class Machine:
+    """The automaton of items (id, text), and what it takes to extend a match."""
+
+    def __init__(self, items: tuple[tuple[int | None, bytes], ...], window: int):
+        self.window, self.piece = window, (window + 1) // 2
+        self.vocabulary: dict[bytes, int] = {}
+        number = self.vocabulary.setdefault
+        flat, self.ids, first = array("I"), [], []
+        for item, text in items:
+            words = normal_words(text)
+            if words:
+                first.append(len(flat))
+                self.ids.append(item)
+                flat.extend(number(w, len(self.vocabulary) + 2) for w in words)
+                flat.append(1)  # no word of a text has this number, nor that of unknown words, 0
+        flat.extend([1] * window)
+        self.words = np.concatenate([np.ones(window, np.uint32), np.frombuffer(flat, np.uint32)])
+        self.first = np.array(first, np.int64) + window
+        found: dict[tuple, array] = {}
+        for k, start in enumerate(first):
+            n = (first[k + 1] if k + 1 < len(first) else len(flat) - window) - 1 - start
+            size = self.piece if n >= window else n
+            for a in range(start, start + n - size + 1, size):
+                found.setdefault(tuple(flat[a : a + size]), array("q")).append(a + window)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, at in found.items():
+            self.machine.add_word(key, (len(key), np.frombuffer(at, np.int64)))
+        if found:
+            self.machine.make_automaton()
+        self.empty = not found
+
+    def runs(self, words: list[bytes]) -> tuple[set[tuple[int, int]], set]:
+        """Stretches of a text's words that windows cover, in any order, and the ids of these windows' items."""
+        known = tuple(map(self.vocabulary.get, words, repeat(0)))
+        text, out, items = None, set(), set()
+        for end, (size, at) in self.machine.iter(known):
+            p = end + 1 - size
+            short = self.words[at + size] == 1
+            whole = short & (self.words[at - 1] == 1)  # the piece is an item
+            if whole.any():
+                out.add((p, p + size))
+                items.update(self.owner(at[whole]))
+            more = at[~whole] if size == self.piece else at[:0]
+            if len(more):
+                if text is None:
+                    text = np.concatenate([np.zeros(self.window, np.uint32), np.array(known, np.uint32), np.zeros(self.window, np.uint32)])
+                reach = np.arange(1, self.window - self.piece + 1)
+                left = self._agree(text, self.window + p - reach, self.words[more[:, None] - reach])
+                right = self._agree(text, self.window + p + size - 1 + reach, self.words[more[:, None] + size - 1 + reach])
+                hit = left + size + right >= self.window
+                if hit.any():
+                    out.update(zip((p - left[hit]).tolist(), (p + size + right[hit]).tolist(), strict=True))
+                    items.update(self.owner(more[hit]))
+        return out, items
+
+    @staticmethod
+    def _agree(text: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """How many words of each row agree with the text's before the first that doesn't."""
+        return np.logical_and.accumulate(words == text[at], axis=1).sum(axis=1)
+
+    def owner(self, at: np.ndarray) -> list:
+        return [self.ids[k] for k in np.unique(np.searchsorted(self.first, at, "right") - 1).tolist()]
+
+
+@lru_cache(maxsize=1)
+def _automaton(items: tuple[tuple[int | None, bytes], ...], window: int) -> Machine | None:
+    machine = Machine(items, window)
+    return None if machine.empty else machine
+
+
+def scan(text: bytes, machine: Machine | None) -> tuple[int, list[tuple[int, int]], set]:
     """Number of words, stretches of words that matches cover (merged, in order), ids of the items."""
     words = normal_words(text)
     if machine is None or not words:
         return len(words), [], set()
-    line = f" {b' '.join(words).decode()} "
-    ends, items = {}, set()
-    for end, (n, ids) in machine.iter(line):
-        ends[end] = max(n, ends.get(end, 0))
-        items |= ids
-    if not ends:
-        return len(words), [], items
-    # the word that ends at a space is the number of spaces before it
-    at = np.array(sorted(ends))
-    spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 0x20)
-    last = np.searchsorted(spaces, at)
+    found, items = machine.runs(words)
     out: list[list[int]] = []
-    for b, n in sorted(zip(last.tolist(), [ends[k] for k in at.tolist()], strict=True), key=lambda x: x[0] - x[1]):
-        if out and b - n <= out[-1][1]:
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([b - n, b])
+            out.append([a, b])
     return len(words), [(a, b) for a, b in out], items
 
 

@@ -10,9 +10,10 @@ character class: hex digits only, letters and digits, or any.  Windows that coun
 Candidates on the allow list, and spans that a base span covers, are left out.
 
 Scale: no shuffle, one row at a time; rows that hold nothing cost a scan for each kind's hint.  All folds
-are linear in the text (running sums go by blocks), so long texts are no problem.
+are linear in the text (running sums and what grows go by blocks), so long texts and many secrets are no problem.
 
-Nulls: a null text is empty.  Null ids and repeated rows stay.  Empty table: empty.
+Nulls: a null text is empty.  Null ids and repeated rows stay.  Empty table: empty.  Ids are whole numbers.  find_secrets reads
+only the id and the text; redact keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ ALLOW = (
 )
 MASK = "[SECRET]"
 _BLOCK = 256
+_TEXT_BLOCK = 1024
 _ARRAY = "array<struct<start: int, kind: int, end: int>>"
 
 
@@ -55,15 +57,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _scan(values: Column) -> Column:
-    """0 and the running sums."""
-    return F.aggregate(values, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
 
 
-def running(values: Column) -> Column:
+def _scan(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """0 and the running sums (or what else join makes)."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(join(F.element_at(a, -1), x))))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column] = _plus) -> Column:
     """The sum of all values before each; values is bound already.  By blocks, so the copies stay small."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda j: _scan(F.slice(values, j * _BLOCK + 1, _BLOCK)))
-    shifted = let(blocks, lambda b: F.zip_with(b, _scan(F.transform(b, lambda x: F.element_at(x, -1))), lambda x, o: F.transform(F.slice(x, 1, F.size(x) - 1), lambda v: v + o)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda j: _scan(F.slice(values, j * _BLOCK + 1, _BLOCK), join))
+    shifted = let(blocks, lambda b: F.zip_with(b, _scan(F.transform(b, lambda x: F.element_at(x, -1)), join), lambda x, o: F.transform(F.slice(x, 1, F.size(x) - 1), lambda v: join(v, o))))
     return F.flatten(F.filter(shifted, lambda x: x.isNotNull()))
 
 
@@ -112,6 +118,7 @@ def _complete(found: Column) -> Column:
 def high_entropy(candidate: Column, width: int = WIDTH) -> Column:
     """array of (start, end) within a candidate (one byte a character, `width` long at least)."""
     top = {k: width * (math.log2(width) - v) for k, v in LEAST.items()}  # the sum of n log2 n must stay below
+    nothing = F.array().cast("array<struct<start: int, end: int>>")
     nlog = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(width + 2)])
 
     def prepared(s: Column) -> Column:
@@ -148,13 +155,15 @@ def high_entropy(candidate: Column, width: int = WIDTH) -> Column:
                     b["n"].alias("n"), b["s"].alias("s"), b["hex"].alias("hex"), b["alnum"].alias("alnum"),
                     F.when(more, a["start"]).when(good, first).otherwise(a["start"]).alias("start"),
                     F.when(good, i + 1).otherwise(a["end"]).alias("end"),
-                    F.when(good & ~more & (a["end"] >= 0), F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end"))))).otherwise(a["out"]).alias("out"),
+                    F.when(good & ~more & (a["end"] >= 0), F.concat(F.when(F.size(a["out"]) < _BLOCK, a["out"]).otherwise(nothing), F.array(F.struct(a["start"].alias("start"), a["end"].alias("end"))))).otherwise(a["out"]).alias("out"),
+                    F.when(good & ~more & (a["end"] >= 0) & (F.size(a["out"]) >= _BLOCK), F.concat(a["full"], F.array(a["out"]))).otherwise(a["full"]).alias("full"),
                 )
 
             return let(moved(counts), judged)
 
-        start = F.struct(x["zero"].alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("hex"), F.lit(0).alias("alnum"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.array().cast("array<struct<start: int, end: int>>").alias("out"))
-        end = lambda a: F.when(a["end"] >= 0, F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end"))))).otherwise(a["out"])
+        start = F.struct(x["zero"].alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("hex"), F.lit(0).alias("alnum"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), nothing.alias("out"), F.array().cast("array<array<struct<start: int, end: int>>>").alias("full"))
+        last = lambda a: F.when(a["end"] >= 0, F.array(F.struct(a["start"].alias("start"), a["end"].alias("end")))).otherwise(nothing)
+        end = lambda a: F.concat(F.flatten(a["full"]), a["out"], last(a))
         return F.aggregate(F.sequence(F.lit(0), F.size(x["p"]) - 1), start, step, end)
 
     return let(prepared(candidate), fold)
@@ -196,6 +205,25 @@ def named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with the mask in place of each stretch of spans (one at least, in order).  The text is cut into blocks first,
+    so that a piece of it costs no more than its size and a block."""
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / _TEXT_BLOCK).cast("int")
+        some = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / _TEXT_BLOCK).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(some, a - first * _TEXT_BLOCK + 1, b - a)).otherwise(F.lit(""))
+
+    def cut(x: Column) -> Column:
+        # a span that begins inside those before only makes their stretch longer
+        pieces = F.zip_with(x["spans"], x["upto"], lambda s, at: F.when(s["start"] >= at, F.concat(piece(x["blocks"], at, s["start"]), F.lit(mask))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), piece(x["blocks"], F.greatest(F.element_at(x["upto"], -1), F.element_at(x["spans"], -1)["end"]), x["n"]))
+
+    ends = let(F.transform(spans, lambda s: s["end"]), lambda e: running(e, F.greatest))
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _TEXT_BLOCK), F.lit(0))
+    return let(F.struct(spans.alias("spans"), ends.alias("upto"), blocks.alias("blocks"), F.length(text).alias("n")), cut)
+
+
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mask: str = MASK, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """docs with each stretch of secrets in the text replaced by the mask; length_col, if docs has it, is renewed
     where a text changed.  Null texts stay null."""
@@ -203,14 +231,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     text, tmp = col(docs, text_col), fresh(docs, "secrets")
     found = docs.withColumn(tmp, _columns(F.coalesce(text.cast("string"), F.lit("")), allow)["spans"])
     text, spans = col(found, text_col), F.col(tmp)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, x: Column) -> Column:
-        # a span that begins inside the one before only makes that one longer
-        gap = F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).otherwise(a["out"])
-        return F.struct(gap.alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
-
-    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    clean = F.when(F.size(spans) > 0, _masked(text, spans, mask)).otherwise(text)
     clean = F.regexp_replace(clean, ASSIGN_ANYWHERE, mask)
     new = fresh(found, "clean")
     out = found.withColumn(new, clean)

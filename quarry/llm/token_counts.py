@@ -9,7 +9,8 @@ Spaces become the space mark, and one goes first, as the tokenizer does it.  No
 (checked when the vocabulary is read), so runs of marks with their word are counted on their own, exactly; workers remember recent
 ones (a bounded memo).  Scores are added up in doubles, so the choice does not hang on a text's length.
 
-Nulls: a null or empty text has no tokens.  Null ids and repeated rows stay.  Empty table: empty.
+Nulls: a null or empty text has no tokens.  Null ids and repeated rows stay.  Empty table: empty.  A long run holds as many places
+as the longest piece has characters.  Ids are whole numbers.  Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Recent
+from .bpe import LONG, Recent
 from .frames import chunks, id_and_text
 
 MARK = "▁"
@@ -45,40 +46,49 @@ class Counter:
         for piece, score in pieces:
             self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.single = {p for p, _ in pieces if len(p) == 1}
         self.unknown = min((s for _, s in pieces), default=0.0) - PENALTY
         inner = any(MARK in p.lstrip(MARK) for p, _ in pieces)
         lines = any("\n" in p for p, _ in pieces)
         # runs that no piece reaches across
-        self.runs = re.compile(r"(?s).+" if inner else r" *[^ ]+| +" if lines else r"\n| *[^ \n]+| +").findall
+        self.runs = re.compile(r"(?s).+" if inner else r" *[^ ]+| +" if lines else r"\n| *[^ \n]+| +")
         self.memo = Recent(self.best, MEMO)
 
     def best(self, run: str) -> int:
-        """The number of pieces of the best way through a run."""
+        """The number of pieces of the best way through a run; only the places that a piece can reach back to are held."""
         text = run.replace(" ", MARK)
-        n, worst = len(text), float("-inf")
-        score, count = [0.0] + [worst] * n, [0] * (n + 1)
-        done = 0  # places up to here are settled
+        n, worst, size = len(text), float("-inf"), self.longest + 1
+        score, count = [worst] * size, [0] * size
+        score[0] = 0.0
+        done, fresh = 0, 0  # places up to done are settled, those up to fresh begun
 
         def alone(upto: int) -> None:
-            nonlocal done
+            nonlocal done, fresh
             for e in range(done, upto):
-                if text[e] not in self.single and score[e] + self.unknown > score[e + 1]:
-                    score[e + 1] = score[e] + self.unknown
-                    count[e + 1] = count[e] + len(text[e].encode())
+                here, then = e % size, (e + 1) % size
+                if e == fresh:
+                    score[then], fresh = worst, e + 1
+                if text[e] not in self.single and score[here] + self.unknown > score[then]:
+                    score[then] = score[here] + self.unknown
+                    count[then] = count[here] + len(text[e].encode())
             done = max(done, upto)
 
-        for end, (size, value) in self.machine.iter(text):  # of one end, the longest first
+        for end, (length, value) in self.machine.iter(text):  # of one end, the longest first
             alone(end)
-            start = end + 1 - size
-            if score[start] + value > score[end + 1]:
-                score[end + 1] = score[start] + value
-                count[end + 1] = count[start] + 1
+            start, then = (end + 1 - length) % size, (end + 1) % size
+            if end == fresh:
+                score[then], fresh = worst, end + 1
+            if score[start] + value > score[then]:
+                score[then] = score[start] + value
+                count[then] = count[start] + 1
         alone(n)
-        return count[n]
+        return count[n % size]
 
     def count(self, text: str) -> int:
-        return sum(map(self.memo.__getitem__, self.runs((" " + text).replace(MARK, " ")))) if text else 0
+        text = (" " + text).replace(MARK, " ") if text else ""
+        runs = self.runs.findall(text) if len(text) < LONG else (m[0] for m in self.runs.finditer(text))
+        return sum(map(self.memo.__getitem__, runs))
 
 
 @lru_cache(maxsize=2)

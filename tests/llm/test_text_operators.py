@@ -5,7 +5,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -194,10 +198,25 @@ def test_edits_are_encoded_anew_only_near_them():
         for _ in range(3):
             at = rng.randrange(len(buffer.data) + 1)
             buffer.edit(at, rng.randrange(min(5, len(buffer.data) - at) + 1), bytes(rng.choice(b"thenoua ") for _ in range(rng.randrange(6))))
-            assert buffer.last == own.prefix_table(buffer.data)
+            assert list(buffer.last) == list(own.prefix_table(buffer.data))
     long = bpe.Buffer(own, b"the quick brown fox " * 200)
     long.edit(100, 3, b"dog")
-    assert long.work < 400 and long.last == own.prefix_table(long.data)
+    assert long.work < 400 and list(long.last) == list(own.prefix_table(long.data))
+
+
+def test_memos_are_bounded_in_bytes():
+    """A long text without spaces leaves no long key behind, and is read in the time of its length."""
+    coder = bpe.Encoder(bpe.read_ranks(Path(tokenizer_file("byte_bpe_50k.tiktoken")).read_bytes()), tokenizer_pattern())
+    rng = random.Random(2)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(150_000))
+    begun = time.monotonic()
+    ids = coder.encode(text)
+    assert time.monotonic() - begun < 20
+    assert coder.decode(ids) == text.encode()
+    counter = token_counts.Counter([("▁", -1.0), *((c, -2.0) for c in "etaoinshrdlu"), ("th", -2.5), ("eth", -2.6)])
+    assert 100_000 < counter.count(text) <= 150_001
+    for memo in (coder.memo, coder.bpe.prefixes, counter.memo):
+        assert all(len(k) <= bpe.SHORT for part in (memo, memo.old) for k in part)
 
 
 def test_token_counts_equal_the_library(odd, rows):
@@ -251,7 +270,7 @@ def test_decontamination(spark, odd, docs, rows, sf, monkeypatch):
     own = [(1, "Sat on the MAT"), (1, "old mill"), (2, None), (3, ""), (None, "dog sat"), (4, "word " * 20)]
     few = spark.createDataFrame(own, "item_id long, text string")
     same(decontaminate.find_overlap(odd, few).select(*pick).collect(), overlap_by_hand(ODD, own))
-    for block in (30, 2000):  # several automata
+    for block in (30, 2000):  # several scans
         monkeypatch.setattr(decontaminate, "BLOCK", block)
         same(decontaminate.find_overlap(odd, few).select(*pick).collect(), overlap_by_hand(ODD, own))
         same(decontaminate.find_overlap(docs, benchmark).collect(), whole)
@@ -268,6 +287,47 @@ def test_decontamination(spark, odd, docs, rows, sf, monkeypatch):
     assert decontaminate.find_overlap(odd.limit(0), few).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 4, 5, 13])
+def test_the_automaton_against_all_windows(window):
+    rng = random.Random(window)
+    for _ in range(150):
+        make = lambda most: " ".join(rng.choice("abc") for _ in range(rng.randrange(most)))  # noqa: B023, E731
+        items = [(rng.choice([None, 1, 2, 3, 4]), make(5 * window)) for _ in range(rng.randrange(5))]
+        text = make(40)
+        machine = decontaminate._automaton(tuple((i, t.encode()) for i, t in items), window)
+        n, stretches, found = decontaminate.scan(text.encode(), machine)
+        words, hit, want = text.split(), set(), set()
+        for i, t in items:
+            w = t.split()
+            size = min(window, len(w))
+            for a in range(len(w) - size + 1) if w else ():
+                for p in range(len(words) - size + 1):
+                    if words[p : p + size] == w[a : a + size]:
+                        hit |= set(range(p, p + size))
+                        want.add(i)
+        assert n == len(words) and found == want
+        assert sorted(x for a, b in stretches for x in range(a, b)) == sorted(hit)
+
+
+def test_a_large_item_set_is_one_automaton():
+    """20 MB of items: the memory stays below 1.5 GB, built and used."""
+    code = """
+import random, resource, sys
+sys.path[:0] = sys.argv[1:]
+from quarry.llm import decontaminate
+rng = random.Random(1)
+words = ["%x" % rng.randrange(1 << 20) for _ in range(100000)]
+items = tuple((i, " ".join(rng.choices(words, k=60)).encode()) for i in range(62000))
+assert 19e6 < sum(len(t) for _, t in items) < decontaminate.BLOCK
+machine = decontaminate._automaton(items, 13)
+n, hit, found = decontaminate.scan(b"x y " + b" ".join(items[777][1].split()[20:40]) + b" z", machine)
+assert (n, hit, found) == (23, [(2, 22)], {777})
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code, str(Path(__file__).resolve().parents[2])], capture_output=True, text=True, check=True, timeout=300)
+    assert int(out.stdout) < 1500
+
+
 def secrets_by_hand(text):
     text = text or ""
     base = [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.ASSIGN, text, re.A) if len(m[1]) >= 12]
@@ -291,6 +351,30 @@ def secrets_by_hand(text):
     return base, sorted(base + [x for x in more if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)])
 
 
+def masked_by_hand(text):
+    out, at = "", 0
+    for a, _, b in secrets_by_hand(text)[1]:
+        if a >= at:
+            out += text[at:a] + secret_scan.MASK
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_many_secrets_are_masked_in_linear_time(spark):
+    """30,000 secrets in one text, and a candidate with many spans."""
+    rng = random.Random(4)
+    value = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    long = "".join(rng.choice(["é ", "x ", "\n", f"token={value(14)}z ", f"AKIA{value(14).upper()} ", f"{value(18)} "]) for _ in range(60_000))
+    mixed = "".join(value(22) + "a" * 30 for _ in range(600))
+    small = "".join(rng.choice(["é ", f"token={value(14)}z", f"{value(18)} ", f"{value(30)}Qx7"]) for _ in range(300))
+    for text in (long, mixed, small):
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begun = time.monotonic()
+        got = secret_scan.redact(frame).first().text
+        assert time.monotonic() - begun < 60
+        assert re.sub(secret_scan.ASSIGN_ANYWHERE, secret_scan.MASK, masked_by_hand(text)) == got
+
+
 def test_secrets(spark, odd, docs, rows):
     rng = random.Random(5)
     parts = ["password", "PassWord", "api_key", "token", "=", ":", " ", "  ", "'", '"', "abc", "é", "😀", "deadbeef01234567", "AKIA", "ABCDEF0123456789", "x9Kq2LmZ8pRt5Wv3Yb7N", "a" * 24, "0aZ/+_-=", "\n", ".", "sK4f9Lq2Zp8Xw1Rt6Vb3Nm7Jh5"]
@@ -307,6 +391,7 @@ def test_secrets(spark, odd, docs, rows):
         if not secrets_by_hand(before[r.doc_id])[1]:
             assert r.text == before[r.doc_id]
     same(secret_scan.redact(odd).select("doc_id", "text").collect(), ODD)
+    assert secret_scan.redact(odd.limit(0)).count() == 0
     assert secret_scan.find_secrets(odd.limit(0)).count() == 0
 
 
