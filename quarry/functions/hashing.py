@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,12 +22,31 @@ def fnv1a(data: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def fnv1a_of(texts: list[bytes]) -> np.ndarray:
+    """Of many texts at once: a step for each place, over those texts that reach it."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    size = np.array([len(texts[i]) for i in order], np.int64)
+    data, first = np.frombuffer(b"".join(texts[i] for i in order), np.uint8), np.cumsum(size) - size
+    h = np.full(len(texts), FNV_BASIS, np.uint64)
+    live = len(texts)
+    for at in range(int(size.max(initial=0))):
+        while size[live - 1] <= at:
+            live -= 1
+        h[:live] = (h[:live] ^ data[first[:live] + at]) * np.uint64(FNV_PRIME)
+    out = np.empty(len(texts), np.int64)
+    out[order] = h.view(np.int64)
+    return out
+
+
 def fnv1a_64(text: Column) -> Column:
     """For tables laid out by it; xxhash64 is the one to use otherwise."""
 
     @F.pandas_udf("long")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else fnv1a(t.encode()))
+        there = s.notna()
+        out = pd.Series(None, index=s.index, dtype="Int64")
+        out[there] = fnv1a_of([t.encode() for t in s[there]])
+        return out
 
     return run(text)
 
@@ -92,3 +112,13 @@ def split_command(line: str) -> list[str]:
     if quote:
         raise ValueError("a quote is not closed")
     return words + [word] if own or word else words
+
+
+def words_of(line: Column) -> Column:
+    """split_command of a column."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else split_command(t))
+
+    return run(line)

@@ -1,7 +1,9 @@
 """Reed-Solomon shards: any k of an object's k + m shards give it back.
 
-Arithmetic in GF(2^8) by tables made from the polynomial; the code is a Cauchy matrix under an identity, every square
-part of which can be inverted.  Encoding makes shards row by row; decoding gathers the few shards of one object."""
+Arithmetic in GF(2^8) by tables made from the polynomial.  The code is the usual systematic one: powers of the row's number
+(a Vandermonde matrix) times the inverse of their upper square, so that data shards are the data.  A product over the
+field goes column by column, so objects of a batch that lack the same shards are multiplied at once, side by side; the
+matrix that gives back what they lack is made once for each set of shards."""
 
 from __future__ import annotations
 
@@ -58,11 +60,21 @@ def invert(m: np.ndarray) -> np.ndarray:
     return both[:, n:]
 
 
+@lru_cache
 def code_matrix(k: int, m: int) -> np.ndarray:
     if k < 1 or m < 0 or k + m > 255:
         raise ValueError("one data shard at least, no fewer than zero parity shards, 255 in all")
-    cauchy = np.array([[inverse_of((k + i) ^ j) for j in range(k)] for i in range(m)], np.uint8).reshape(m, k)
-    return np.concatenate([np.eye(k, dtype=np.uint8), cauchy])
+    table = _product()
+    powers = np.ones((k + m, k), np.uint8)
+    for c in range(1, k):
+        powers[:, c] = table[powers[:, c - 1], np.arange(k + m)]
+    return times(powers, invert(powers[:k]))
+
+
+@lru_cache(maxsize=4096)
+def repair_matrix(own: tuple[int, ...], k: int, m: int) -> np.ndarray:
+    """What turns those k shards into the data shards."""
+    return invert(code_matrix(k, m)[list(own)])
 
 
 def shards_of(data: bytes, k: int, m: int) -> list[bytes]:
@@ -77,10 +89,9 @@ def reconstruct(shards: dict[int, bytes], k: int, m: int) -> list[bytes]:
         raise ValueError("shards differ in size")
     if len(shards) < k:
         raise ValueError(f"{k} shards are needed, {len(shards)} are there")
-    own = sorted(shards)[:k]
-    matrix = code_matrix(k, m)
+    own = tuple(sorted(shards)[:k])
     rows = np.stack([np.frombuffer(shards[i], np.uint8) for i in own])
-    return [r.tobytes() for r in times(matrix, times(invert(matrix[own]), rows))]
+    return [r.tobytes() for r in times(code_matrix(k, m), times(repair_matrix(own, k, m), rows))]
 
 
 def verify(shards: dict[int, bytes], k: int, m: int) -> bool:
@@ -88,41 +99,101 @@ def verify(shards: dict[int, bytes], k: int, m: int) -> bool:
     return len(shards) == k + m and reconstruct({i: shards[i] for i in range(k)}, k, m) == [shards[i] for i in range(k + m)]
 
 
+def _sized(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about so many bytes."""
+    a = total = 0
+    for b, n in enumerate(sizes):
+        if total and total + n > most:
+            yield a, b
+            a, total = b, 0
+        total += n
+    if len(sizes) > a:
+        yield a, len(sizes)
+
+
 def encode(objects: DataFrame, id_col: str, k: int = DATA, m: int = PARITY) -> DataFrame:
     """objects(id, data): (id, shard_idx, data, size) of each shard; size is the object's."""
     code_matrix(k, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in range(b.num_rows):
-                one = b.slice(row, 1)
-                data = one.column("data")[0].as_py() or b""
-                made = shards_of(data, k, m)
-                ids = pa.chunked_array([one.column("id")] * len(made)).combine_chunks()
-                yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(made)), pa.int32()), pa.array(made, pa.binary()), pa.array([len(data)] * len(made), pa.int64())], ["id", "shard_idx", "data", "size"])
+            every = [x or b"" for x in b.column("data").to_pylist()]
+            for first, end in _sized(list(map(len, every))):
+                data = every[first:end]
+                width = [max(1, -(-len(x) // k)) for x in data]
+                rows = np.concatenate([np.frombuffer(x.ljust(w * k, b"\0"), np.uint8).reshape(k, w) for x, w in zip(data, width, strict=True)], axis=1)
+                made, to = times(code_matrix(k, m), rows), np.cumsum(width).tolist()
+                shards = [row[e - w : e].tobytes() for e, w in zip(to, width, strict=True) for row in made]
+                n = len(data)
+                of = np.repeat(np.arange(first, end), k + m)
+                size = np.array(list(map(len, data)), np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(of)), pa.array(np.tile(np.arange(k + m, dtype=np.int32), n)), pa.array(shards, pa.binary()), pa.array(np.repeat(size, k + m))], ["id", "shard_idx", "data", "size"])
 
     kind = objects.schema[id_col].dataType.simpleString()
     own = objects.select(F.col(id_col).alias("id"), F.col("data").cast("binary").alias("data"))
     return own.mapInArrow(run, f"id {kind}, shard_idx int, data binary, size long").withColumnRenamed("id", id_col)
 
 
-def decode(shards: DataFrame, id_col: str, k: int = DATA, m: int = PARITY) -> DataFrame:
-    """shards(id, shard_idx, data, size), k at least of each object: (id, data)."""
+def _data_of(objects: list[tuple[object, int, dict[int, bytes]]], k: int, m: int) -> list[bytes]:
+    """The data of (id, size, shards) of each object, those that have the same shards at once."""
+    out, alike = [b""] * len(objects), {}
+    for i, (_, _, shards) in enumerate(objects):
+        if len(shards) < k:
+            raise ValueError(f"{k} shards are needed, {len(shards)} are there")
+        if len({len(x) for x in shards.values()}) > 1:
+            raise ValueError("shards differ in size")
+        alike.setdefault(tuple(sorted(shards)[:k]), []).append(i)
+    for own, group in alike.items():
+        rows = np.stack([np.frombuffer(b"".join(objects[i][2][x] for i in group), np.uint8) for x in own])
+        made = rows if own == tuple(range(k)) else times(repair_matrix(own, k, m), rows)
+        at = 0
+        for i in group:
+            width = len(objects[i][2][own[0]])
+            out[i] = made[:, at : at + width].tobytes()[: objects[i][1]]
+            at += width
+    return out
+
+
+def decode(shards: DataFrame, id_col: str, k: int = DATA, m: int = PARITY, most: int = 4 << 20) -> DataFrame:
+    """shards(id, shard_idx, data, size), k at least of each object: (id, data).  Shards are dealt by id and sorted; a worker
+    holds whole objects of about `most` bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, first = [], 0, True
 
-    def run(group: pa.Table) -> pa.Table:
-        own = dict(zip(group.column("shard_idx").to_pylist(), group.column("data").to_pylist(), strict=True))
-        size = group.column("size")[0].as_py()
-        return pa.table({"id": group.column("id").slice(0, 1), "data": pa.array([b"".join(reconstruct(own, k, m)[:k])[:size]], pa.binary())})
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], arrow), pa.array(_data_of(held, k, m), pa.binary())], ["id", "data"])
+
+        arrow = None
+        for b in batches:
+            arrow = b.schema.field("id").type
+            for i, place, data, size in zip(*(b.column(c).to_pylist() for c in ("id", "shard_idx", "data", "size")), strict=True):
+                if first or held[-1][0] != i:
+                    if total > most:
+                        yield done()
+                        held, total = [], 0
+                    held.append((i, size, {}))
+                    first = False
+                held[-1][2][place] = data
+                total += len(data)
+        if held:
+            yield done()
 
     kind = shards.schema[id_col].dataType.simpleString()
     own = shards.select(F.col(id_col).alias("id"), "shard_idx", "data", "size")
-    return own.groupBy("id").applyInArrow(run, f"id {kind}, data binary").withColumnRenamed("id", id_col)
+    return own.repartition(F.xxhash64("id")).sortWithinPartitions("id").mapInArrow(run, f"id {kind}, data binary").withColumnRenamed("id", id_col)
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
-    """JSON lines, a folder for each shard, data in base64."""
-    shards.withColumn("data", F.base64("data")).write.partitionBy("shard_idx").json(path)
+    """JSON lines, a folder for each shard, data in base64; beside them a manifest (see manifest)."""
+    shards.withColumn("data", F.base64("data")).write.partitionBy("shard_idx").json(f"{path}/shards")
+    manifest(shards).write.json(f"{path}/manifest")
+
+
+def manifest(shards: DataFrame) -> DataFrame:
+    """(shard_idx, objects, bytes) of each shard."""
+    return shards.groupBy("shard_idx").agg(F.count(F.lit(1)).alias("objects"), F.sum(F.length("data")).alias("bytes"))
 
 
 def read_shards(spark, path: str, id_type: str = "long", id_col: str = "id") -> DataFrame:
-    return spark.read.schema(f"{id_col} {id_type}, data string, size long, shard_idx int").json(path).withColumn("data", F.unbase64("data"))
+    return spark.read.schema(f"{id_col} {id_type}, data string, size long, shard_idx int").json(f"{path}/shards").withColumn("data", F.unbase64("data"))

@@ -5,6 +5,8 @@ functions on streams."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,3 +114,24 @@ def locks(requests: DataFrame) -> DataFrame:
         return new, out | {"outcome": "acquired", "owner": r["owner"], "token": new[2]}
 
     return fold(requests, "name", "seq", "name string, seq long, outcome string, owner string, token string", lambda _: None, step)
+
+
+def upload(files: DataFrame, put: Callable[[dict], None]) -> DataFrame:
+    """Hands each row to put(row), in the task that holds it: the rows with ok, and the error's text where it was not.
+
+    A lost task runs again, so put must be able to take a row twice; read the result once (checkpoint it, or write it)."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            errors = []
+            for row in b.to_pylist():
+                try:
+                    put(row)
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  whatever the action raises is its row's result
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([e is None for e in errors], pa.bool_()), pa.array(errors, pa.string())], [*b.schema.names, "ok", "error"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.mapInArrow(run, f"{fields}, ok boolean, error string")

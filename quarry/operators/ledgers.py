@@ -81,7 +81,8 @@ def fold(rows: DataFrame, key: str, order: str, schema: str, start: Callable, st
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+    # dealt by a hash of its own: a repartition by a join's key is optimised away, and AQE may then split that join's keys
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 def admit(requests: DataFrame, limit: int) -> DataFrame:

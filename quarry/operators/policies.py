@@ -3,6 +3,7 @@ are few (plans.rewrite.small), so rows stay where they are."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,25 +35,38 @@ def transitions(mtime_sec: Column, days: Column, now: int) -> Column:
 
 
 def lifecycle(objects: DataFrame, rules: DataFrame, now: int) -> DataFrame:
-    """objects(path, mtime_sec, ...) -> path, storage_class, action.
+    """objects(path, mtime_sec[, tags map]) -> path, storage_class, action.
 
     Enabled rules are taken in order.  The first that expires the object deletes it; transitions of rules before that one are
-    made first, the last of them stands.  Rules hold rule_idx, prefix, expire_days, transition_days, storage_class, status.
+    made first, the last of them stands.  Rules hold rule_idx, prefix, expire_days, transition_days, storage_class, status, and
+    tag_key and tag_value if there are such: a rule with a tag is for objects that have it only.
     While the rules are few each object reads them as a list, without a shuffle; many rules are joined."""
-    on = rules.where("status = 'Enabled'").select("rule_idx", "prefix", "expire_days", "transition_days", "storage_class")
-    own, mtime = objects.select("path", "mtime_sec"), F.col("mtime_sec")
+    tagged = {"tag_key", "tag_value"} <= set(rules.columns)
+    tag = ["tag_key", "tag_value"] if tagged else [F.lit(None).cast("string").alias("tag_key"), F.lit(None).cast("string").alias("tag_value")]
+    on = rules.where("status = 'Enabled'").select("rule_idx", "prefix", "expire_days", "transition_days", "storage_class", *tag)
+    on = on.withColumn("tag_key", F.nullif(F.col("tag_key"), F.lit("")))
+    has = F.col("tags") if "tags" in objects.columns else F.create_map().cast("map<string, string>")
+    own, mtime = objects.select("path", "mtime_sec", has.alias("tags")), F.col("mtime_sec")
+
+    def covers(r: Column | None = None) -> Column:
+        of = (lambda c: F.col(c)) if r is None else (lambda c: r[c])
+        return matches_filter(F.col("path"), of("prefix"), F.col("tags"), of("tag_key"), of("tag_value"))
+
     if is_small(on):
-        near = with_list(own, on, "rules").withColumn("hits", F.filter("rules", lambda r: F.col("path").startswith(r["prefix"])))
+        near = with_list(own, on, "rules").withColumn("hits", F.filter("rules", covers))
         found = near.select(
             "path",
             F.get(F.transform(F.filter("hits", lambda r: expired(mtime, r["expire_days"], now)), lambda r: r["rule_idx"]), F.lit(0)).alias("end"),
             F.transform(F.filter("hits", lambda r: transitions(mtime, r["transition_days"], now)), lambda r: F.struct(r["rule_idx"].alias("rule_idx"), r["storage_class"].alias("storage_class"))).alias("steps"),
         )
     else:
-        hit = own.join(on, F.col("path").startswith(F.col("prefix")))
+        # a path is asked about under its beginnings of just the lengths that rules have
+        lengths = F.array(*[F.lit(r.n) for r in on.select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()])
+        asked = own.select("path", "mtime_sec", "tags", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("n"))
+        hit = asked.withColumn("prefix", F.substring("path", F.lit(1), F.col("n"))).join(on, "prefix").where(covers())
         ends = hit.groupBy("path", "mtime_sec").agg(
             F.min(F.when(expired(mtime, F.col("expire_days"), now), F.col("rule_idx"))).alias("end"),
-            F.array_sort(F.collect_list(F.when(transitions(mtime, F.col("transition_days"), now), F.struct("rule_idx", "storage_class")))).alias("steps"),
+            F.array_sort(F.collect_set(F.when(transitions(mtime, F.col("transition_days"), now), F.struct("rule_idx", "storage_class")))).alias("steps"),
         )
         found = own.join(ends, ["path", "mtime_sec"], "left").select("path", "end", F.coalesce("steps", F.array().cast("array<struct<rule_idx: int, storage_class: string>>")).alias("steps"))
     before = F.filter("steps", lambda r: F.col("end").isNull() | (r["rule_idx"] < F.col("end")))
@@ -92,17 +106,17 @@ WRITES = ("s3:PutObject", "s3:DeleteObject", "s3:CreateBucket", "s3:DeleteBucket
 
 
 def grant_regexes(grants: DataFrame) -> DataFrame:
-    """grants(identity, grant_str) with what each allows: any, a group of actions, one action, one action on a pattern.
+    """grants(identity, grant_str) with what each allows: any, a group of actions, one action, one action on a pattern, whose
+    regular expression is made in the row."""
+
+    @F.pandas_udf("string")
+    def regex(patterns: pd.Series) -> pd.Series:
+        return patterns.map(lambda p: None if p is None else glob_to_regex(p))
 
-    The distinct grant texts are few (they are written by hand); their patterns become regular expressions here, once each."""
-    texts = [r.grant_str for r in small(grants).select("grant_str").distinct().collect()]
-    rows = []
-    for g in texts:
-        parts = (g or "").split(":", 2)
-        pattern = glob_to_regex(parts[2]) if len(parts) == 3 else ".*"
-        rows.append((g, ":".join(parts[:2]) if len(parts) == 3 else g, pattern))
-    table = grants.sparkSession.createDataFrame(rows, "grant_str string, allowed string, pattern string")
-    return grants.join(F.broadcast(table), "grant_str")
+    parts = F.split("grant_str", ":", 3)
+    scoped = F.size(parts) == 3
+    pattern = F.when(scoped, regex(F.get(parts, F.lit(2)))).otherwise(F.lit(".*"))
+    return grants.select("identity", "grant_str", F.when(scoped, F.concat_ws(":", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))).otherwise(F.col("grant_str")).alias("allowed"), pattern.alias("pattern"))
 
 
 def allows(action: Column, resource: Column, allowed: Column, pattern: Column) -> Column:
@@ -158,7 +172,12 @@ def audited(requests: DataFrame) -> DataFrame:
 
 def first_site_rule(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """requests(request_id, origin, method) with the index of the first rule that allows both; rules(rule_idx, origins,
-    methods) of a site are few, each request reads them as a list."""
+    methods) of a site are few, each request reads them as a list; many are joined."""
+    if not is_small(rules):
+        fits = F.exists("origins", lambda o: (o == "*") | (F.lower(o) == F.lower(F.col("origin")))) & F.exists("methods", lambda m: F.lower(m) == F.lower(F.col("method")))
+        asked = requests.select("origin", "method").distinct()
+        first = asked.join(rules, fits).groupBy("origin", "method").agg(F.min("rule_idx").alias("rule_idx"))
+        return requests.join(first, ["origin", "method"], "left").select("request_id", "rule_idx")
     good = F.filter("rules", lambda r: F.exists(r["origins"], lambda o: (o == "*") | (F.lower(o) == F.lower(F.col("origin")))) & F.exists(r["methods"], lambda m: F.lower(m) == F.lower(F.col("method"))))
     return with_list(requests, rules.select("rule_idx", "origins", "methods"), "rules").select("request_id", F.try_element_at(good, F.lit(1))["rule_idx"].alias("rule_idx"))
 

@@ -66,11 +66,13 @@ def balance_plan(replicas: DataFrame, nodes: DataFrame, spread: float = 0.2, mos
     loads = node_loads(replicas, nodes, spread)
     heavy = loads.where("n_volumes > high").select(F.col("node").alias("source"), F.col("n_volumes").alias("s_load"))
     light = loads.where("n_volumes < low").select(F.col("node").alias("target"), F.col("n_volumes").alias("t_load"))
-    pairs = heavy.crossJoin(small(light))
-    offered = pairs.join(replicas.select(F.col("node").alias("source"), "vid").distinct(), "source")
+    order = [F.desc("s_load"), "source", F.desc("t_load"), "target"]
+    # a heavy node holds more volumes than a light one, so there is one to move for every pair: the first pairs are the plan's
+    first = heavy.orderBy(*order[:2]).limit(most).crossJoin(light.orderBy(*order[2:]).limit(most)).orderBy(*order).limit(most)
+    offered = replicas.select(F.col("node").alias("source"), "vid").join(F.broadcast(first), "source")
     fit = offered.join(replicas.select(F.col("node").alias("target"), "vid"), ["target", "vid"], "left_anti")
     plan = fit.groupBy("source", "target", "s_load", "t_load").agg(F.min("vid").alias("vid"))
-    return plan.orderBy(F.desc("s_load"), "source", F.desc("t_load"), "target").limit(most).select("source", "target", "vid")
+    return plan.orderBy(*order).select("source", "target", "vid")
 
 
 def ranked_nodes(nodes: DataFrame) -> DataFrame:

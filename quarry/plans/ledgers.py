@@ -78,7 +78,15 @@ def _(t):
     return ops.token_bucket(t("events").select(F.concat(F.lit("h"), (F.col("user_id") % 20).cast("string")).alias("host"), F.col("event_id").alias("seq"), (F.col("event_id") / 10.0).alias("at")), 0.3, 5.0)
 
 
-@query("w12_simulate_cache")
+@query(
+    "w12_simulate_cache",
+    """with recursive l as (select user_id % 4 as cache, event_id as seq, event_id * 7919 % 113 as x, row_number() over (partition by user_id % 4 order by event_id) as k from events),
+    r as (select cache, seq, k, false as hit, 0::bigint as evicted, [x] as held from l where k = 1
+      union all select cache, seq, k, was, case when was then 0 else len(h) - len(kept) end, kept from (
+        select *, case when was then h else list_filter(h, lambda y, i: list_sum(list_transform(h[i:], lambda z: z * 10 + 5)) <= 20000) end as kept from (
+          select l.cache, l.seq, l.k, list_contains(r.held, l.x) as was, list_append(list_filter(r.held, lambda y: y <> l.x), l.x) as h from r join l on l.cache = r.cache and l.k = r.k + 1)))
+    select cache, seq, hit, cast(evicted as bigint) as evicted, cast(list_sum(list_transform(held, lambda z: z * 10 + 5)) as bigint) as used from r""",
+)
 def _(t):
     return ops.simulate_cache(t("events").select((F.col("user_id") % 4).alias("cache"), F.col("event_id").alias("seq"), (F.col("event_id") * 7919 % 113).alias("item"), (F.col("event_id") * 7919 % 113 * 10 + 5).alias("size")), 20_000)
 

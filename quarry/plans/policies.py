@@ -29,6 +29,26 @@ def _(t):
     return ops.lifecycle(_paths(t), t("f_lifecycle_rules"), NOW)
 
 
+_TAG_RULES = [(0, "/buckets/src1", 30, 0, "", "Enabled", "disk", "ssd"), (1, "/buckets/", 0, 60, "STANDARD_IA", "Enabled", None, None), (2, "/buckets/", 300, 0, "", "Enabled", "disk", "hdd"), (3, "/buckets/", 0, 200, "GLACIER", "Enabled", "disk", "ssd"), (4, "/buckets/src2", 1, 0, "", "Enabled", "owner", "nobody")]
+
+
+@query(
+    "j3_lifecycle_tags",
+    """with rules as (select * from (values (0, '/buckets/src1', 30, 0, '', 'ssd'), (1, '/buckets/', 0, 60, 'STANDARD_IA', null), (2, '/buckets/', 300, 0, '', 'hdd'), (3, '/buckets/', 0, 200, 'GLACIER', 'ssd')) as t(rule_idx, prefix, expire_days, transition_days, storage_class, disk)),
+    o as (select dir || '/' || name as path, mtime_sec, disk_type from f_entries),
+    hit as (select path, rule_idx, storage_class, expire_days > 0 and mtime_sec < 1704067200 - expire_days * 86400 as dies, transition_days > 0 and mtime_sec < 1704067200 - transition_days * 86400 as moves
+      from o join rules r on starts_with(path, prefix) and (disk is null or disk = disk_type)),
+    ends as (select path, min(rule_idx) filter (dies) as e from hit group by path),
+    last_step as (select h.path, arg_max(storage_class, rule_idx) as sc from hit h join ends on h.path = ends.path where moves and (e is null or rule_idx < e) group by h.path)
+    select o.path, sc as storage_class, case when e is not null then 'delete' when sc is not null then 'transition' else 'keep' end as action
+    from o left join ends on o.path = ends.path left join last_step s on o.path = s.path""",
+)
+def _(t):
+    objects = _paths(t).withColumn("tags", F.create_map(F.lit("disk"), F.col("disk_type")))
+    rules = objects.sparkSession.createDataFrame(_TAG_RULES, "rule_idx int, prefix string, expire_days int, transition_days int, storage_class string, status string, tag_key string, tag_value string")
+    return ops.lifecycle(objects, rules, NOW)
+
+
 @query(
     "p4_tag_filter",
     "select inode, r from (select inode, disk_type, dir || '/' || name as path, unnest([0, 1, 2]) as r from f_entries) where case r when 0 then starts_with(path, '/buckets/src1') when 1 then disk_type = 'ssd' else starts_with(path, '/buckets/src2') and disk_type = 'hdd' end",

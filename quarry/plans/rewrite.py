@@ -39,6 +39,8 @@ def is_small(rules: DataFrame, most: int = BROADCAST_ROWS) -> bool:
 
 def with_list(rows: DataFrame, rules: DataFrame, name: str) -> DataFrame:
     """rows, each with all rules as one sorted array: for few rules, so that matching them needs no shuffle at all.
-    Rules are sorted by their columns from left to right."""
+    Rules are sorted by their columns from left to right; more than BROADCAST_ROWS of them are an error."""
+    if not is_small(rules):
+        raise ValueError(f"a list of more than {BROADCAST_ROWS} rows is not sent to every row")
     every = rules.agg(F.array_sort(F.collect_list(F.struct(*rules.columns))).alias(name))
     return rows.crossJoin(F.broadcast(every))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions import codes, hashing, paths
@@ -203,27 +205,54 @@ def _(t):
     return chunks.join(where, "vid").select("upload_id", "part_number", "urls")
 
 
-@query("s13_scan_folder")
+@query("ec_round_trip", "select inode, sha256(content) as h from f_entries")
 def _(t):
-    from quarry.sources.volumes import scan_folder
+    from quarry.operators import erasure
 
-    events = t("events")
-    folder = events.inputFiles()[0].rsplit("/", 1)[0]
-    return scan_folder(events.sparkSession, folder).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    own = t("f_entries").select("inode", F.encode("content", "UTF-8").alias("data"))
+    shards = erasure.encode(own, "inode", 4, 2).where("shard_idx not in (1, 3)")
+    return erasure.decode(shards, "inode", 4, 2).select("inode", F.sha2("data", 256).alias("h"))
 
 
-@query("ec_round_trip", "select inode, sha256(content) as h from f_entries")
+@query(
+    "ec_shards",
+    """with o as (select inode, hex(encode(content)) as h, octet_length(encode(content)) as len, greatest(1, (octet_length(encode(content)) + 9) // 10) as width from f_entries)
+    select inode, cast(i as int) as shard_idx, cast(width as int) as n, case when i < 10 then md5(unhex(substr(rpad(h, cast(20 * width as int), '0'), cast(1 + 2 * width * i as int), cast(2 * width as int)))) end as data_md5 from o, range(13) r(i)""",
+)
 def _(t):
+    """Data shards by their content, parity shards by their size (tests hold parity against published bytes)."""
     from quarry.operators import erasure
 
     own = t("f_entries").select("inode", F.encode("content", "UTF-8").alias("data"))
-    shards = erasure.encode(own, "inode", 4, 2).where("shard_idx not in (1, 3)")
-    return erasure.decode(shards, "inode", 4, 2).select("inode", F.sha2("data", 256).alias("h"))
+    return erasure.encode(own, "inode").select("inode", "shard_idx", F.length("data").alias("n"), F.when(F.col("shard_idx") < 10, F.md5("data")).alias("data_md5"))
 
 
-@query("ec_shards")
+@query("k14_shard_manifest", "select cast(i as int) as shard_idx, count(*) as objects, cast(sum(greatest(1, (octet_length(encode(content)) + 9) // 10)) as bigint) as bytes from f_entries, range(13) r(i) group by i")
 def _(t):
     from quarry.operators import erasure
+    from quarry.sources.shared import shared_folder
 
     own = t("f_entries").select("inode", F.encode("content", "UTF-8").alias("data"))
-    return erasure.encode(own, "inode").select("inode", "shard_idx", F.length("data").alias("n"), F.crc32("data").alias("crc"))
+    folder = f"{shared_folder(own.sparkSession)}/shards-{uuid.uuid4().hex}"
+    erasure.write_shards(erasure.encode(own, "inode"), folder)
+    return erasure.manifest(erasure.read_shards(own.sparkSession, folder, "long", "inode"))
+
+
+#: A published example of the signature (the first of the service's own documentation): the request's day, region and string to sign.
+_SIGNED = "AWS4-HMAC-SHA256\n20130524T000000Z\n20130524/us-east-1/s3/aws4_request\n7344ae5b7ee6c3e7e6b0fe0640412a37625d1fbfff95c48bbb2dc43964946972"
+
+
+@query("f20_signature", "select event_id, 'f0e8bdb87c964420e857bd35b5d6ed310bd44f0170aba48dd91039c6036bdb41' as signature from events")
+def _(t):
+    from quarry.functions import hashing
+
+    text = F.lit(_SIGNED)
+    return t("events").select("event_id", hashing.signature(F.lit("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), F.lit("20130524"), F.lit("us-east-1"), text).alias("signature"))
+
+
+@query("f25_split_command", "select event_id, 'volume.' || event_type || '|user ' || user_id || '|-force' as words from events")
+def _(t):
+    from quarry.functions import hashing
+
+    line = F.concat(F.lit("volume."), F.col("event_type"), F.lit("  'user "), F.col("user_id").cast("string"), F.lit("' \"-force\""))
+    return t("events").select("event_id", F.array_join(hashing.words_of(line), "|").alias("words"))

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from quarry.operators import topology as ops
 from quarry.plans.catalog import query
+from quarry.plans.rewrite import with_list
+
+#: A volume has some 25 replicas here; so many are expected, and some volumes have fewer.
+_EXPECTED = "20 + vid % 4"
 
-def _expected():
-    return 1 + F.col("vid") % 4
 
+def _expected():
+    return F.expr(_EXPECTED)
 
 
 @query("p9_flatten_snapshot", "select dc, rack, cast(node as varchar) as node, vid from f_topology")
@@ -23,9 +27,10 @@ def _(t):
     return ops.flatten(read).groupBy("dc", "rack").agg(F.count(F.lit(1)).alias("n"), F.sum("vid").alias("vids"))
 
 
-@query("k2_export_json")
+@query("k2_export_json", "select dc, rack, cast(node as varchar) as node, count(*) as n, min(vid) as first, max(vid) as last from f_topology group by dc, rack, node")
 def _(t):
-    return ops.to_json(ops.snapshot(t("f_topology")))
+    read = ops.flatten(ops.from_json(ops.to_json(ops.snapshot(t("f_topology")))))
+    return read.groupBy("dc", "rack", "node").agg(F.count(F.lit(1)).alias("n"), F.min("vid").alias("first"), F.max("vid").alias("last"))
 
 
 @query("a5_counts", "select count(distinct dc) as n_dc, count(distinct dc || '/' || rack) as n_rack, count(distinct node) as n_node, count(*) as n_replica from f_topology")
@@ -38,17 +43,17 @@ def _(t):
     return ops.counts_by_level(t("f_topology"))
 
 
-@query("a8_census", "select vid, count(distinct node) as actual, cast(1 + vid % 4 as bigint) as expected from f_topology group by vid having count(distinct node) < 1 + vid % 4")
+@query("a8_census", f"select vid, count(distinct node) as actual, cast({_EXPECTED} as bigint) as expected from f_topology group by vid having count(distinct node) < {_EXPECTED}")
 def _(t):
     return ops.census(t("f_topology"), _expected())
 
 
-_LOADS = "loads as (select n.node, count(distinct vid) as c from f_nodes n left join f_topology t on n.node = t.node group by n.node), b as (select ceil(avg(c) * 1.2) as high, floor(avg(c) * 0.8) as low from loads)"
+_LOADS = "loads as (select n.node, count(distinct vid) as c from f_nodes n left join f_topology t on n.node = t.node group by n.node), b as (select ceil(avg(c) * 1.05) as high, floor(avg(c) * 0.95) as low from loads)"
 
 
 @query("a9_node_loads", f"with {_LOADS} select node, c as n_volumes, cast(high as bigint) as high, cast(low as bigint) as low from loads, b")
 def _(t):
-    return ops.node_loads(t("f_topology"), t("f_nodes"), 0.2)
+    return ops.node_loads(t("f_topology"), t("f_nodes"), 0.05)
 
 
 @query(
@@ -58,10 +63,10 @@ def _(t):
     group by source, target, sc, tc order by sc desc, source, tc desc, target limit 5""",
 )
 def _(t):
-    return ops.balance_plan(t("f_topology"), t("f_nodes"), 0.2, 5)
+    return ops.balance_plan(t("f_topology"), t("f_nodes"), 0.05, 5)
 
 
-_LACK = "lack as (select vid, count(distinct node) as actual, 1 + vid % 4 as expected from f_topology group by vid having count(distinct node) < 1 + vid % 4)"
+_LACK = f"lack as (select vid, count(distinct node) as actual, {_EXPECTED} as expected from f_topology group by vid having count(distinct node) < {_EXPECTED})"
 _SOURCE = "src as (select vid, node as source from (select t.vid, t.node, row_number() over (partition by t.vid order by free_slots desc, t.node) as k from (select distinct vid, node from f_topology) t join f_nodes n on t.node = n.node) where k = 1)"
 
 
@@ -168,8 +173,19 @@ def _(t):
     return t("f_topology").groupBy("vid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda n: n.cast("string")), ",").alias("nodes"))
 
 
-@query("w16_place_copies")
+@query(
+    "w16_place_copies",
+    """with c as (select *, row_number() over (order by node, dc, rack) as pos from (select distinct cast(node as varchar) as node, dc, rack from f_topology)),
+    r as (select node as request_id, node % 3 as n_dc, node % 2 as n_rack, node % 4 as n_same from f_nodes),
+    kinds as (select r.*, c.node, c.pos, case when c.pos = 1 then 0 when c.dc <> h.dc then 1 when c.rack <> h.rack then 2 else 3 end as kind,
+      row_number() over (partition by request_id, c.dc, c.rack order by c.pos) as of_rack from r, c, (select dc, rack from c where pos = 1) h),
+    ranked as (select *, row_number() over (partition by request_id, kind, kind = 2 and of_rack > 1 order by pos) as k from kinds),
+    chosen as (select *, kind = 0 or (kind = 1 and k <= n_dc) or (kind = 2 and of_rack = 1 and k <= n_rack) or (kind = 3 and k <= n_same) as taken from ranked),
+    filled as (select *, row_number() over (partition by request_id, taken order by pos) as spare, count(*) filter (taken) over (partition by request_id) as had from chosen),
+    final as (select *, case when taken then kind else 4 end as step from filled where taken or spare <= n_dc + n_rack + n_same + 1 - had)
+    select request_id, string_agg(node, ',' order by step, pos) as nodes, count(*) as n from final group by request_id""",
+)
 def _(t):
-    nodes = t("f_topology").select("node", "dc", "rack").distinct().groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("node").cast("string").alias("node"), "dc", "rack"))).alias("candidates"))
+    nodes = t("f_topology").select(F.col("node").cast("string").alias("node"), "dc", "rack").distinct()
     asked = t("f_nodes").selectExpr("node as request_id", "cast(node % 3 as int) as copies_dc", "cast(node % 2 as int) as copies_rack", "cast(node % 4 as int) as copies_same")
-    return ops.place_copies(asked.crossJoin(F.broadcast(nodes)))
+    return ops.place_copies(with_list(asked, nodes, "candidates"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import feeds, ledgers, namespace, needles, policies, scalars, topology  # noqa: F401  they register
+from quarry.plans import feeds, ledgers, namespace, needles, policies, scalars, topology, volumes  # noqa: F401  they register
 from quarry.plans.catalog import ORACLES, QUERIES
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: 2024-01-01T00:00:00Z: operators take the time as a parameter, the registered queries use this.
 NOW = 1704067200
 
-#: f_topology takes the lines of every tenth order, so that volumes have from one to a few replicas and some lack copies.
 VIEWS = {
     "f_entries": """select doc_id as inode, concat('/buckets/', source, '/', lang) as dir,
         concat(case when doc_id % 17 = 0 then '.' else '' end, 'doc-', lpad(cast(doc_id as varchar(20)), 8, '0')) as name,
@@ -21,7 +20,7 @@ VIEWS = {
         case when event_type = 'error' then cast(0 as bigint) else cast(floor(value * 100) as bigint) + 8 end as size from {events}""",
     "f_topology": """select distinct r.r_name as dc, n.n_name as rack, s.s_suppkey as node, l.l_partkey + 1 as vid
         from {lineitem} l join {supplier} s on l.l_suppkey = s.s_suppkey join {nation} n on s.s_nationkey = n.n_nationkey
-        join {region} r on n.n_regionkey = r.r_regionkey where l.l_orderkey % 10 = 0""",
+        join {region} r on n.n_regionkey = r.r_regionkey""",
     "f_nodes": "select s_suppkey as node, s_suppkey % 7 as free_slots from {supplier}",
     "f_quota_log": """select event_id as seq, user_id, case when event_type in ('error', 'view') then -cast(floor(value * 100) as bigint)
         else cast(floor(value * 100) as bigint) end as delta from {events}""",

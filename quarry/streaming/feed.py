@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.feeds import subscribe
+from quarry.sources.shared import shared_folder
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -18,15 +19,17 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-def read_events(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int | None = None) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int | None = None, bytes_per_trigger: str | None = None) -> DataFrame:
     """Events of the files of that name in a folder, or of the part files if it is a table's folder, and of those that come later.
 
-    Without per_trigger all files that are there make one batch: a table's files come in any order of time, and rows that
+    A batch takes so many files or bytes (such as "1g") at most.  Without a limit all files that are there make one batch: a table's files come in any order of time, and rows that
     come late across batches are dropped by watermarks."""
     path = f"{folder}/{files}"
     read = spark.readStream.schema(spark.read.parquet(path).schema)
     if per_trigger:
         read = read.option("maxFilesPerTrigger", per_trigger)
+    if bytes_per_trigger:
+        read = read.option("maxBytesPerTrigger", bytes_per_trigger)
     found = read.parquet(path) if _is_folder(spark, path) else read.option("pathGlobFilter", files).parquet(folder)
     return found.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -63,6 +66,18 @@ def replicate_to(changes: DataFrame, apply: Callable[[DataFrame, int], None], ch
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_to(changes: DataFrame, path: str, checkpoint: str):
+    """The feed's log: creations, deletions and renames with the time they were appended, as Parquet, each once."""
+    kept = changes.where(F.col("op").isin("create", "delete", "rename")).withColumn("append_at", F.current_timestamp())
+    return kept.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def every(spark: SparkSession, interval: str, job: Callable[[int], None]):
+    """A periodic job: job(n) on the driver at each interval, such as "1 hour", until the query it returns is stopped."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, n: job(n)).trigger(processingTime=interval).start()
+
+
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """All that is there now, run through, as a table: appended rows, which grow with the stream, in the shared folder; other
     modes' results, which are small, in memory."""
@@ -70,7 +85,7 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     if mode != "append":
         stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
         return spark.table(name)
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}"
+    out = f"{shared_folder(spark)}/{name}"
     stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode(mode).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 

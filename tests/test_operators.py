@@ -367,9 +367,13 @@ def test_erasure(spark, tmp_path):
         erasure.reconstruct({0: b"a", 1: b"bc"}, 2, 1)
     with pytest.raises(ValueError):
         erasure.reconstruct({0: b"a"}, 2, 1)
-    made[0] = b"\xff" * len(made[0])
+    # a published example of this code: five data shards, five of parity
+    known = [bytes(x) for x in ([0, 1], [4, 5], [2, 3], [6, 7], [8, 9], [12, 13], [10, 11], [14, 15], [90, 91], [94, 95])]
+    assert erasure.shards_of(b"".join(known[:5]), 5, 5) == known
+    assert erasure.reconstruct({i: known[i] for i in (9, 8, 6, 3, 0)}, 5, 5) == known
     frame = spark.createDataFrame([(1, b"hello"), (2, b""), (3, b"z" * 77)], "id long, data binary")
     shards = erasure.encode(frame, "id", 4, 2)
     erasure.write_shards(shards, str(tmp_path / "ec"))
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "ec" / "manifest")).select("shard_idx", "objects", "bytes").collect()) == [(i, 3, 23) for i in range(6)]
     back = erasure.read_shards(spark, str(tmp_path / "ec")).where("shard_idx not in (0, 5)")
     assert {(r.id, bytes(r.data)) for r in erasure.decode(back, "id", 4, 2).collect()} == {(1, b"hello"), (2, b""), (3, b"z" * 77)}
