@@ -66,15 +66,15 @@ class Recent(dict):
 class PrefixBpe:
     """Encodes byte strings exactly as merging by rank does."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], memo: int = MEMO):
+        self.ranks, self.most = ranks, memo
         self.bytes = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], int] = {}
         self.borders: dict[int, bool] = {}
-        self.prefixes = Recent(None, MEMO)
+        self.prefixes = Recent(None, memo)
         ends: dict[bytes, set[int]] = {}
         for token in ranks:
             ends.setdefault(token[-2:], set()).add(len(token))
@@ -109,7 +109,7 @@ class PrefixBpe:
         key = a << 32 | b
         known = self.borders.get(key)
         if known is None:
-            if len(self.borders) >= MEMO:
+            if len(self.borders) >= self.most:
                 self.borders.clear()
             known = self.borders[key] = self.stays(a, b)
         return known
@@ -236,10 +236,10 @@ class Buffer:
 class Encoder:
     """Texts to ids, as decimal text with one space between."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.bpe = PrefixBpe(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
+        self.bpe = PrefixBpe(ranks, memo)
         self.pattern = regex.compile(pattern)
-        self.memo = Recent(self.piece, MEMO)
+        self.memo = Recent(self.piece, memo)
         self.plain = {b"%d" % i: t for i, t in self.bpe.bytes.items()}
 
     def piece(self, text: str) -> bytes:
@@ -257,19 +257,19 @@ class Encoder:
         return b"".join(map(self.plain.__getitem__, ids.split(b" "))) if ids else b""
 
 
-@lru_cache(maxsize=2)
-def _encoder(data: bytes, pattern: str) -> Encoder:
-    return Encoder(read_ranks(data), pattern)
+@lru_cache(maxsize=1)
+def _encoder(data: bytes, pattern: str, memo: int) -> Encoder:
+    return Encoder(read_ranks(data), pattern, memo)
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", emit_ids: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", emit_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of each row; the digests are of the decimal ids joined
-    by one space and of the bytes that decoding these ids gives."""
+    by one space and of the bytes that decoding these ids gives.  memo: pieces and prefixes that a worker remembers."""
     with open(ranks_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(sent.value, pattern)
+        coder = _encoder(sent.value, pattern, memo)
         for x in chunks(batches):
             n, digests, plain, ids = [], [], [], []
             for text in x.column("text").to_pylist():

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,21 +9,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import shared_folder
+
 #: Text bytes that a worker handles at once; bounds its memory.
 CHUNK_BYTES = 2 << 20
 #: Tables up to this size by Spark's own estimate are dealt to all cores if their files don't do so.
 SMALL = 64 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir.  Where it is not set, a folder of this machine in local mode, else an error: the
-    machines of a cluster don't see each other's folders."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+#: Rows of an Arrow batch, at most: whole texts of 10,000 rows (Spark's own bound) would fill JVM and worker several times over.
+BATCH_ROWS = 2000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -51,6 +42,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def spread(df: DataFrame) -> DataFrame:
     """df; a small table in fewer pieces than there are cores (one file, one row group) is dealt out first."""
+    small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     plans = df._jdf.queryExecution()
     if int(str(plans.optimizedPlan().stats().sizeInBytes())) > SMALL or "Exchange" in plans.executedPlan().toString():
@@ -58,6 +50,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on rows of an Arrow batch to BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that matter, under fixed names; other columns can't clash with ours."""
     return spread(docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).cast("string").alias("text")))

@@ -1,22 +1,24 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes from both ends, labels every byte with a probability for each language, and a document's
-probabilities are the mean over all its bytes.  The state starts anew at each word, so a word's labels hang on nothing
-but its bytes: workers compute a word once and remember recent words (a bounded memo), and whole texts of any length
-are read in linear time.  Words longer than CUT bytes are read in pieces of CUT bytes.
+The network reads the UTF-8 bytes of the whole text in lower case from both ends and labels every byte, blanks, digits and punctuation
+too, with a probability for each language; its state is carried across words.  A document's probabilities are the mean over
+all its bytes.  Long texts are read in windows of WINDOW bytes, cut between characters; in each direction the state is
+warmed up on the CONTEXT bytes before a window, whose labels belong to the window beside it.  So each byte is labelled
+once, memory is bounded, and windows of many documents run side by side.
 
-It is trained here, in numpy, by backpropagation through time, on a sample that is bounded by PER_LANGUAGE documents of each
-language (drawn by a hash of the id, so it is the same every time) and DRAWN words of each language.  Everything else covers all rows.
+It is trained here, in numpy, by backpropagation through time, on a sample that is bounded: of each of the LANGUAGES most frequent languages
+some PER_LANGUAGE documents (drawn by a 64-bit hash of the id, so it is the same every time, and each language on its
+own, so a rare one is kept beside any number of others), and of each document a stretch of PIECE characters.  Everything else covers all rows.
 
 Only documents with crc32(id as text) mod FOLDS other than HELD_OUT, with a language and an id are learned from.
 A null text, or one without a letter, is `und` with score 0; so is every text if there is nothing to learn from.
-A null id is not held out.  Repeated rows stay.  Ties go to the first language by name.  Empty table: empty.
+A null id is not held out.  Repeated rows stay.  Ties go to the first language by name.  Empty table: empty.  Ids are whole
+numbers.  Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +29,28 @@ from .frames import chunks, col, id_and_text
 
 FOLDS, HELD_OUT = 3, 1
 PER_LANGUAGE = 200
-DRAWN = 12_000
-HIDDEN = 16
-STEPS = 350
-BATCH = 192
-CUT = 32
-MEMO = 400_000
+PIECE = 4096
+LANGUAGES = 512
+HIDDEN = 8
+#: Steps of training, windows of a step, their bytes.
+STEPS, BATCH, STRETCH = 200, 128, 32
+WINDOW, CONTEXT = 512, 24
+#: Windows that run side by side.
+LANES = 4096
 UNKNOWN = "und"
-#: Letters and bytes beyond ASCII stay, all else parts words.
-_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def letters(text: str) -> list[bytes]:
-    """Lower-case words of letters, in pieces of CUT bytes at most."""
-    found = text.lower().encode().translate(_LETTERS).split()
-    if found and max(map(len, found)) > CUT:
-        found = [w[i : i + CUT] for w in found for i in range(0, len(w), CUT)]
-    return found
+def windows(text: bytes) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, last) of a text's windows: what is read, and what of it is labelled.  All cuts are between characters."""
+    n = len(text)
+
+    def border(i: int) -> int:
+        while 0 < i < n and text[i] & 0xC0 == 0x80:
+            i -= 1
+        return i
+
+    cuts = [border(i) for i in range(0, n, WINDOW)] + [n]
+    return [(border(max(0, a - CONTEXT)), border(min(n, b + CONTEXT)), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
 def has_letter(text: str | None) -> bool:
@@ -121,20 +128,17 @@ class BiGru:
             out[f"u{d}"], out[f"wx{d}"] = du, dwx
         return loss, out
 
-    def fit(self, words: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 7, rate: float = 0.02) -> list[float]:
-        """Adam over batches of words of one length."""
+    def fit(self, texts: list[bytes], steps: int = STEPS, batch: int = BATCH, stretch: int = STRETCH, seed: int = 7, rate: float = 0.02) -> list[float]:
+        """Adam over stretches drawn from the languages' texts (one each, of one byte at least), alike from each language."""
         rng = np.random.default_rng(seed)
-        size = np.array([len(w) for w in words])
-        groups = {n: np.flatnonzero(size == n) for n in np.unique(size).tolist()}
-        lengths = np.array(list(groups))
-        share = np.array([len(groups[n]) * n for n in lengths.tolist()], float)
-        one, two, losses = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2)), None, []
-        one, two = one
+        data = [np.frombuffer(t * -(-stretch // len(t)) if len(t) < stretch else t, np.uint8) for t in texts]
+        one, two = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
+        losses, places = [], np.arange(stretch)
         for step in range(1, steps + 1):
-            n = int(rng.choice(lengths, p=share / share.sum()))
-            pick = rng.choice(groups[n], batch)
-            x = np.frombuffer(b"".join([words[i] for i in pick.tolist()]), np.uint8).reshape(batch, n)
-            loss, grad = self.gradients(x, labels[pick])
+            label = rng.integers(0, len(data), batch)
+            start = (rng.random(batch) * np.array([len(data[k]) - stretch + 1 for k in label.tolist()])).astype(np.int64)
+            x = np.stack([data[k][a + places] for k, a in zip(label.tolist(), start.tolist(), strict=True)])
+            loss, grad = self.gradients(x, label)
             losses.append(loss)
             now = rate * (1 - step / (steps + 1)) + 1e-4
             for k, g in grad.items():
@@ -143,46 +147,58 @@ class BiGru:
                 self.w[k] -= (now * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-8)).astype(self.w[k].dtype)
         return losses
 
-    def sums(self, words: list[bytes], block: int = 2048) -> np.ndarray:
-        """Of each word, the sum over its bytes of the languages' probabilities."""
-        out = np.zeros((len(words), len(self.w["c"])), np.float32)
-        size = np.array([len(w) for w in words])
-        order = np.argsort(size, kind="stable")
-        cut = np.flatnonzero(np.diff(size[order], prepend=-1))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
-            for i in range(a, b, block):
-                some = order[i : min(i + block, b)]
-                x = np.frombuffer(b"".join([words[k] for k in some.tolist()]), np.uint8).reshape(len(some), -1)
-                out[some] = self.forward(x)[0].sum(axis=0)
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """Of each text, the sum over its bytes of the languages' probabilities."""
+        out = np.zeros((len(texts), len(self.w["c"])))
+        cut = [(e - s, f - s, l - s, i, s) for i, t in enumerate(texts) for s, e, f, l in windows(t)]
+        cut.sort(key=lambda x: -x[0])  # the longest first: those that a step is for are the first so many
+        for some in (cut[i : i + LANES] for i in range(0, len(cut), LANES)):
+            size, first, last, of, start = (np.array(c) for c in zip(*some, strict=True))
+            x = np.zeros((size[0], len(some)), np.uint8)
+            for lane, (n, _, _, i, s) in enumerate(some):
+                x[:n, lane] = np.frombuffer(texts[i], np.uint8, n, s)
+            np.add.at(out, of, self._lanes(x, size, first, last))
         return out
 
-
-class Labeller:
-    """Documents to probabilities, with a memo of words."""
-
-    def __init__(self, model: BiGru):
-        self.model, self.at = model, {}
-        self.table = np.zeros((0, len(model.w["c"])), np.float32)
-
-    def read(self, docs: list[list[bytes]]) -> np.ndarray:
-        """Mean probabilities of each document's bytes; zeros without words."""
-        flat = list(chain.from_iterable(docs))
-        new = list(dict.fromkeys(w for w in flat if w not in self.at))
-        if len(self.at) + len(new) > MEMO:
-            new, self.at, self.table = list(dict.fromkeys(flat)), {}, self.table[:0]
-        if new:
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.model.sums(new)])
-        out = np.zeros((len(docs), self.table.shape[1]))
-        n = np.array([len(d) for d in docs])
-        own = np.flatnonzero(n)
-        if len(own):
-            rows = self.table[np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))].astype(np.float64)
-            first = (np.cumsum(n) - n)[own]
-            total = np.add.reduceat(rows, first)
-            size = np.add.reduceat(np.fromiter(map(len, flat), np.int64, len(flat)), first)
-            out[own] = total / size[:, None]
-        return out
+    def _lanes(self, x: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Sums of the probabilities at places first to last of each lane; x (places, lanes), lanes by size, the longest first."""
+        k, v, c = self.h, self.w["v"], self.w["c"]
+        live = np.searchsorted(-size, -np.arange(len(x)), side="left").tolist()  # lanes longer than each place
+        halves = {d: self.halved(d) for d in "fb"}
+
+        def step(d: str, t: int, h: np.ndarray) -> np.ndarray:
+            wx, u = halves[d]
+            g, s = wx[x[t, : len(h)]], h @ u
+            gate = np.tanh(g[:, : 2 * k] + s[:, : 2 * k])
+            gate *= 0.5
+            gate += 0.5
+            n = np.tanh(g[:, 2 * k :] + gate[:, :k] * s[:, 2 * k :])
+            h -= n
+            h *= gate[:, k:]
+            h += n
+            return h
+
+        ahead = np.zeros((len(x), x.shape[1], k), v.dtype)
+        h = np.zeros((x.shape[1], k), v.dtype)
+        for t, n in enumerate(live):
+            h = step("f", t, h[:n])
+            ahead[t, :n] = h
+        h, total = np.zeros((x.shape[1], k), v.dtype), np.zeros((x.shape[1], len(c)), v.dtype)
+        for t in range(len(x) - 1, -1, -1):
+            n = live[t]
+            back = step("b", t, h[:n])  # in place
+            z = ahead[t, :n] @ v[:k] + back @ v[k:] + c
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            z *= ((first[:n] <= t) & (t < last[:n]))[:, None] / z.sum(axis=1, keepdims=True)
+            total[:n] += z
+        return total
+
+    def halved(self, d: str) -> tuple[np.ndarray, np.ndarray]:
+        """Weights with the two gates' inputs halved: sigmoid(x) is (1 + tanh(x / 2)) / 2."""
+        scale = np.ones(3 * self.h, self.w["v"].dtype)
+        scale[: 2 * self.h] = 0.5
+        return self.w[f"wx{d}"] * scale, self.w[f"u{d}"] * scale
 
 
 def held_out(doc_id) -> object:
@@ -193,24 +209,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The languages in order and the network (None: nothing to learn from)."""
     own = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).cast("string").alias("text"), col(docs, lang_col).cast("string").alias("lang"))
     own = own.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    found = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not found:
         return [], None
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * per_language / n))])
-    share = shares[F.col("lang")]
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    sample = own.filter(drawn < 1_000_000 * share).orderBy(drawn, "doc_id", "lang", F.xxhash64("text")).limit(2 * per_language * len(counts)).collect()
-    rng, languages, words, labels = np.random.default_rng(7), sorted(counts), [], []
-    for k, lang in enumerate(languages):
-        own_words = [w for r in sample if r.lang == lang for w in letters(r.text)]
-        if own_words:
-            pick = rng.integers(0, len(own_words), DRAWN)
-            words += [own_words[i] for i in pick.tolist()]
-            labels += [k] * DRAWN
-    if not words:
+    # a share of each language's hashes, as signed 64-bit numbers; half as many again, so that there are enough
+    upto = {r.lang: -(2**63) + min(2**64 - 1, int(2**64 * min(1.0, 1.5 * per_language / r.n))) for r in found}
+    drawn = own.withColumn("drawn", F.xxhash64("doc_id")).where(F.col("drawn") <= F.create_map(*[F.lit(x) for item in upto.items() for x in item])[F.col("lang")])
+    begin = 1 + F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - PIECE, F.lit(1)))
+    pieces: dict[str, list] = {r.lang: [] for r in found}
+    for r in drawn.select("lang", "drawn", F.lower(F.substring("text", begin.cast("int"), F.lit(PIECE))).alias("piece")).collect():
+        pieces[r.lang].append((r.drawn, r.piece))
+    texts = {lang: "\n".join(p for _, p in sorted(x)[:per_language] if p).encode() for lang, x in pieces.items()}
+    languages = sorted(lang for lang, t in texts.items() if t)
+    if not languages:
         return [], None
     model = BiGru(len(languages))
-    model.fit(words, np.array(labels))
+    model.fit([texts[lang] for lang in languages])
     return languages, model
 
 
@@ -220,12 +234,11 @@ def identify(docs: DataFrame, languages: list[str], model: BiGru | None, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, model = sent.value
-        reader = Labeller(model) if model is not None else None
         for x in chunks(batches):
             texts = x.column("text").to_pylist()
-            read = [letters(t) if t else [] for t in texts]
-            fine = [reader is not None and bool(w) and has_letter(t) for w, t in zip(read, texts, strict=True)]
-            p = reader.read(read) if reader else np.zeros((len(texts), 0))
+            fine = [model is not None and has_letter(t) for t in texts]
+            read = [t.lower().encode() if f else b"" for t, f in zip(texts, fine, strict=True)]
+            p = model.sums(read) / np.maximum([[len(t)] for t in read], 1) if model is not None else np.zeros((len(texts), 0))
             best = p.argmax(axis=1).tolist() if p.shape[1] else [0] * len(texts)
             pred = [languages[k] if f else UNKNOWN for k, f in zip(best, fine, strict=True)]
             score = [min(1.0, float(p[i, k])) if f else 0.0 for i, (k, f) in enumerate(zip(best, fine, strict=True))]

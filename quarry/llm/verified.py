@@ -88,6 +88,12 @@ def _sign(own: np.ndarray) -> str:
     return hashlib.md5(own.tobytes()).hexdigest()
 
 
+def _number(sign: str | Column) -> Column:
+    """The first 120 bits of a sign as a number, which Spark compares and adds up without sorting."""
+    half = lambda at: F.conv(F.substring(sign, at, 15), 16, 10).cast("decimal(19,0)")
+    return (half(1) * F.lit(2**60).cast("decimal(19,0)") + half(16)).cast("decimal(38,0)")
+
+
 class Index:
     """Sets by shingle: compares one set with all of them in the time of what they share."""
 
@@ -234,10 +240,15 @@ def _meet(asked: DataFrame, sets: DataFrame, least: float, most: int) -> DataFra
     return checkpointed(rows.mapInArrow(run, "a string, b string").distinct())
 
 
+def _numbered(edges: DataFrame) -> DataFrame:
+    return edges.select(_number("a").alias("a"), _number("b").alias("b"))
+
+
 def _outside(sets: DataFrame, edges: DataFrame) -> DataFrame:
     """The sets that are not of the largest class of their proposal, by the edges found so far."""
-    found = connected_components(edges).select(F.col("node").alias("sign"), F.col("root").alias("class"))
-    known = checkpointed(sets.select("root", "sign").join(found, "sign", "left").select("root", "sign", F.coalesce("class", "sign").alias("class")))
+    found = connected_components(_numbered(edges)).select(F.col("node").alias("number"), F.col("root").alias("class"))
+    known = sets.select("root", "sign", _number("sign").alias("number")).join(found, "number", "left")
+    known = checkpointed(known.select("root", "sign", F.coalesce("class", "number").alias("class")))
     largest = known.groupBy("root", "class").count().groupBy("root").agg(F.max(F.struct("count", "class")).alias("top")).select("root", "top.class")
     return sets.join(known.join(largest, ["root", "class"], "left_anti").select("root", "sign"), ["root", "sign"], "left_semi")
 
@@ -280,8 +291,9 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int, words: in
     own = id_and_text(docs, id_col, text_col)
     texts = own.join(near, own["doc_id"].eqNullSafe(near["of"]) & (F.xxhash64(own["text"]) == near["text_digest"]))
     sets = checkpointed(_sets_of(texts.select("root", "sign", "text"), words))
-    found = connected_components(_confirmed(sets, least, most, rounds, pivots))
-    grouped = checkpointed(distinct.join(found.withColumnRenamed("node", "sign"), "sign", "left").select("sign", F.col("doc_id").alias("least"), F.coalesce("root", "sign").alias("root")))
+    found = connected_components(_numbered(_confirmed(sets, least, most, rounds, pivots)))
+    named = distinct.select("sign", F.col("doc_id").alias("least"), _number("sign").alias("number"))
+    grouped = checkpointed(named.join(found.withColumnRenamed("node", "number"), "number", "left").select("sign", "least", F.coalesce("root", "number").alias("root")))
     component = checkpointed(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     return rows.select("doc_id", "digest", "sign").join(grouped.join(component, "root").select("sign", "root", "component_id"), "sign").select("doc_id", "digest", "root", "component_id")
 

@@ -483,6 +483,43 @@ def test_gru_gradients():
             assert (up - down) / 2e-5 == pytest.approx(g[at], abs=1e-6)
 
 
+def labels_by_hand(model, text):
+    """The probabilities at each byte, one window and one step at a time, in double precision."""
+    k, w = model.h, {n: x.astype(float) for n, x in model.w.items()}
+
+    def states(d, data):
+        h, out = np.zeros(k), []
+        for byte in data:
+            g, s = w[f"wx{d}"][byte], h @ w[f"u{d}"]
+            r, z = (1 / (1 + np.exp(-(g + s)[i * k : (i + 1) * k])) for i in (0, 1))
+            n = np.tanh(g[2 * k :] + r * s[2 * k :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    out = []
+    for start, end, first, last in langid.windows(text):
+        assert len(out) == first and start == max(0, start) and (start == first or first - start <= langid.CONTEXT + 3)
+        data = text[start:end]
+        data.decode()  # cut between characters
+        both = zip(states("f", data), states("b", data[::-1])[::-1], strict=True)
+        logits = [np.concatenate(x) @ w["v"] + w["c"] for x in both][first - start : last - start]
+        out += [np.exp(z - z.max()) / np.exp(z - z.max()).sum() for z in logits]
+    assert len(out) == len(text)
+    return np.array(out)
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "and", "dog"]) for _ in range(20)), "en") for i in range(3000)]
+    rows += [(i, " ".join(rng.choice(["ñandu", "güey", "año"]) for _ in range(20)), "xx") for i in range(5000, 5012)] + [(8000 + i, None, "yy") for i in range(9)] + [(None, "a", "zz"), (7000, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, model = langid.train(docs, per_language=3)
+    assert languages == ["en", "xx"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, languages, model).collect()}
+    assert got[5001] == "xx" and got[1] == "en" and got[7000] in languages
+
+
 def test_language_identification(spark, odd, docs):
     languages, model = langid.train(docs)
     got = langid.identify(docs, languages, model).collect()
@@ -495,9 +532,8 @@ def test_language_identification(spark, odd, docs):
     few = {(r.doc_id, r.lang_pred) for r in langid.identify(odd, languages, model).collect()}
     assert {(3, "und"), (4, "und"), (5, "und"), (None, "und")} <= few and len(langid.identify(odd, languages, model).collect()) == len(ODD)
     # a document's probabilities are the mean over its bytes
-    words = langid.letters("Thé cat, sat")
-    assert words == ["thé".encode(), b"cat", b"sat"]
-    each = model.sums(words).sum(axis=0) / sum(map(len, words))
-    assert langid.Labeller(model).read([words])[0] == pytest.approx(each, abs=1e-5)
+    for text in ("Thé cat, sat 12!", "漢字かな " * 60 + "é", "x" * 700, "a"):
+        got = langid.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), languages, model).first()
+        assert got.probabilities == pytest.approx(labels_by_hand(model, text.lower().encode()).mean(axis=0), abs=2e-3)
     none, nothing = langid.train(odd.limit(0))
     assert {r.lang_pred for r in langid.identify(odd, none, nothing).collect()} == {"und"}
