@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, decontaminate, secret_scan, verified, weak_quality
 from quarry.llm.queries import tokenizer_file, tokenizer_pattern
+from quarry.sources.shared import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    return bpe.bpe_encode(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern(), emit_ids=True)
+    """Token ids of each document.  The workers have done the stages before, so they remember less than the operator's own."""
+    return bpe.bpe_encode(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern(), emit_ids=True, memo=100_000)
 
 
 STAGES = [
@@ -60,8 +61,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for documents.  A stage's table goes once the next one's is whole; the one that the
     result reads stays, in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    folder = f"{shared}/corpus_pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         out = f"{folder}/{k}_{name}"
