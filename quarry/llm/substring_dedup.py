@@ -12,20 +12,23 @@ together in a document with a smaller id is removed; windows are judged on the i
    stretches of words to remove.
 3. The stretches meet the texts, which travel as compressed blocks, by a hash of the document.
 
-Skew: a first pass over all text counts minimisers; those with a large share of all windows (at most HOT
-of them, so the list is small) send each of their windows on its own, dealt by the window's hash.  It sets the layout
-only, never the result.  Buckets are read as sorted streams, one in memory at a time; one that is still too large
-is sorted in several passes, each over the windows with one remainder of their hash.
+Skew: a first pass over all text counts minimisers; those with a large share of all windows, or with MANY windows (LISTED
+of them at most, the most frequent, so the list is small), send each of their windows on its own, dealt by the window's hash.  It sets the layout
+only, never the result.  Buckets are read as sorted streams, one at a time.  Of windows that stand in a bucket again
+and again only the smallest id's is held on to; what is then still too large for memory is held compressed and sorted in
+several passes, each over the windows with one remainder of their hash.  Partitions grow with the bytes of the text.
 
 Nulls: a null text has no words.  A null id is larger than any other and equal to another null.  Rows
 with the same id and text get the same result each; rows with the same id and other texts are told apart.
-Texts of under W words keep all.  Empty table: empty.
+Texts of under W words keep all.  Empty table: empty.  A long text is read whole in one worker, with some 100 bytes of memory for
+each of its words.  Ids are whole numbers.  Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +42,14 @@ from .textbytes import Words, hash_ranges, lanes, mix, same_ranges  # noqa: F401
 
 WINDOW = 13
 PIECE = 3
-#: A minimiser with more than 1/HOT of all windows is dealt by window.
-HOT = 4000
+#: A minimiser with more than 1/HOT of all windows, or with more than MANY, is dealt by window; LISTED of them at most.
+HOT, MANY, LISTED = 4000, 1_000_000, 200_000
 #: Bytes of text in a chunk of the map side, in a bucket on average, and in a bucket that is sorted in one pass.
 CHUNK, BUCKET, MOST = 6 << 20, 12 << 20, 48 << 20
 #: So many buckets at least.
 LEAST = 256
+#: Bytes of blocks (about four for a byte of text, before compression) in a partition.
+PARTITION = 256 << 20
 NO_ID = 2**63 - 1
 _R = np.uint64(0xC6A4A7935BD1E995)
 _R_INV = np.uint64(pow(0xC6A4A7935BD1E995, -1, 2**64))
@@ -137,7 +142,7 @@ def _survey(window: int, piece: int) -> Callable:
             texts = as_bytes(x.column("text"))
             _, least, _ = _minimisers(Words(texts), window, piece)
             value, count = np.unique(least, return_counts=True)
-            many = count > max(2, len(least) // HOT)
+            many = count > max(2, len(least) // (5 * HOT))
             keys = [None, *value[many].view(np.int64).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sum(map(len, texts)), *count[many].tolist()], pa.int64()), pa.array([len(least)] + [0] * (len(keys) - 1), pa.int64())], ["key", "n", "windows"])
 
@@ -145,13 +150,13 @@ def _survey(window: int, piece: int) -> Callable:
 
 
 def survey(text: DataFrame, window: int = WINDOW, piece: int = PIECE) -> tuple[int, np.ndarray]:
-    """Bytes of all text, and the hot minimisers: fewer than HOT by their definition."""
+    """Bytes of all text, and the hot minimisers."""
     counts = text.mapInArrow(_survey(window, piece), "key long, n long, windows long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows"))
-    most = counts.orderBy(F.col("key").isNotNull(), F.col("n").desc()).limit(2 * HOT).collect()
+    most = counts.orderBy(F.col("key").isNotNull(), F.col("n").desc()).limit(LISTED).collect()
     if not most:
         return 0, np.zeros(0, np.uint64)
     total, *found = most  # the row without a key comes first
-    hot = [r.key for r in found if r.n * HOT > total.windows and r.n > 100]
+    hot = [r.key for r in found if r.n > max(100, min(total.windows // HOT, MANY))]
     return total.n, np.sort(np.array(hot, np.int64).view(np.uint64))
 
 
@@ -251,13 +256,19 @@ def _picked(part: tuple, which: np.ndarray) -> tuple:
 
 def _repeated(buf, start, end, whole, ids, keys, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Id, row key and place of each window that a smaller id has as well."""
+    i = _later(buf, start, end, whole, ids)
+    return ids[i], keys[i], pos[i]
+
+
+def _later(buf, start, end, whole, ids) -> np.ndarray:
+    """The windows that a smaller id has as well."""
     order = np.argsort(whole, kind="stable")
     sorted_ = whole[order]
     eq = sorted_[1:] == sorted_[:-1]
     order = order[np.concatenate([[False], eq]) | np.concatenate([eq, [False]])] if len(order) else order
     order = order[np.lexsort((ids[order], whole[order]))]
     if not len(order):
-        return ids[:0], keys[:0], pos[:0]
+        return order
     first = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
     lead = order[np.flatnonzero(first)][np.cumsum(first) - 1]
     later = ids[order] > ids[lead]
@@ -272,27 +283,52 @@ def _repeated(buf, start, end, whole, ids, keys, pos) -> tuple[np.ndarray, np.nd
             least[t] = min(least.get(t, NO_ID), int(ids[k]))
         more = [k for k, t in zip(group, words, strict=True) if ids[k] > least[t]]
         i = np.concatenate([i[~np.isin(whole[i], whole[order[odd]])], np.array(more, i.dtype)])
-    return ids[i], keys[i], pos[i]
+    return i
 
 
 def _count_windows(window: int, places: int, most: int) -> Callable:
     """Reads blocks sorted by bucket; yields stretches for each place."""
 
-    def found(blocks: list[bytes]) -> Iterator[tuple]:
-        size = sum(zstandard.frame_content_size(b) for b in blocks)
-        parts = -(-size // most)
-        if parts <= 1:
-            yield _repeated(*_joined([_windows(b, window) for b in blocks]))
-            return
-        parts *= 4  # windows on their own take more room than in a super-k-mer
-        for k in range(parts):
-            one = [_picked(x, np.flatnonzero(x[3] // np.uint64(7) % np.uint64(parts) == k)) for x in (_windows(b, window) for b in blocks)]
-            yield _repeated(*_joined(one))
+    class Bucket:
+        """Windows of one bucket.  new: blocks that came last; old: blocks that had little in common; least: what is left of
+        windows that stood there again and again."""
+
+        def __init__(self):
+            self.new, self.old, self.least, self.size, self.before = [], [], [], 0, 0
+
+        def add(self, block: bytes) -> Iterator[tuple]:
+            self.new.append(block)
+            self.size += zstandard.frame_content_size(block)
+            if self.size > most:
+                yield from self.settle()
+
+        def settle(self) -> Iterator[tuple]:
+            """Reports what is repeated among the new blocks and the least, and lets go of it, if that is most of them."""
+            one = _joined([*(_windows(b, window) for b in self.new), *self.least])
+            later = _later(*one[:5])
+            if 2 * len(later) > len(one[3]) and sum(len(x[0]) for x in self.least) <= most:
+                yield tuple(x[later] for x in one[4:])
+                stay = np.ones(len(one[3]), bool)
+                stay[later] = False
+                self.least = [_picked(one, np.flatnonzero(stay))]
+            else:
+                self.old += self.new
+                self.before += self.size
+            self.new, self.size = [], 0
+
+        def rest(self) -> Iterator[tuple]:
+            blocks, size = self.old + self.new, self.before + self.size + sum(len(x[0]) for x in self.least)
+            parts = -(-size // most)
+            if parts <= 1:
+                yield _repeated(*_joined([*(_windows(b, window) for b in blocks), *self.least]))
+                return
+            parts *= 4  # windows on their own take more room than in a super-k-mer
+            for k in range(parts):
+                one = [_picked(x, np.flatnonzero(x[3] // np.uint64(7) % np.uint64(parts) == k)) for x in chain((_windows(b, window) for b in blocks), self.least)]
+                yield _repeated(*_joined(one))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        held: list[bytes] = []
-        known: list[tuple] = []
-        now = None
+        held, known, now = None, [], None
 
         def flush() -> Iterator[tuple]:
             if known:
@@ -305,15 +341,13 @@ def _count_windows(window: int, places: int, most: int) -> Callable:
                 if kind == 1:
                     yield place, 0, block
                     continue
-                if bucket != now and held:
-                    known.extend(found(held))
-                    held.clear()
-                    if sum(len(k[0]) for k in known) > 1_000_000:
-                        yield from flush()
-                now = bucket
-                held.append(block)
-        if held:
-            known.extend(found(held))
+                if bucket != now or held is None:
+                    known.extend(held.rest() if held else ())
+                    now, held = bucket, Bucket()
+                known.extend(held.add(block))
+                if sum(len(k[0]) for k in known) > 1_000_000:
+                    yield from flush()
+        known.extend(held.rest() if held else ())
         yield from flush()
 
     return lambda batches: _batches(rows(batches), _PLACED)
@@ -389,13 +423,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, hot = survey(text, window, piece)
     buckets, places = max(LEAST, 3 * total // BUCKET), max(LEAST, total // BUCKET)
     sent = text.mapInArrow(_super_kmers(window, piece, buckets, places, hot), "bucket long, kind int, place long, block binary")
-    gone = _dealt_by(sent, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_windows(window, places, most), "place long, kind int, block binary")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * total // PARTITION)
+    gone = _dealt_by(sent, "bucket", parts).sortWithinPartitions("bucket").mapInArrow(_count_windows(window, places, most), "place long, kind int, block binary")
     whole = text.mapInArrow(_texts(places), "place long, kind int, block binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * emit_text
-    return _dealt_by(gone.unionByName(whole), "place").sortWithinPartitions("place", "kind").mapInArrow(_cut(emit_text), schema)
+    return _dealt_by(gone.unionByName(whole), "place", parts).sortWithinPartitions("place", "kind").mapInArrow(_cut(emit_text), schema)
 
 
-def _dealt_by(blocks: DataFrame, number: str) -> DataFrame:
+def _dealt_by(blocks: DataFrame, number: str, parts: int) -> DataFrame:
     """Buckets in turn over the partitions: each gets as many, give or take one, where a hash would give some twice that."""
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartitionById(n, F.pmod(F.col(number), F.lit(n)).cast("int"))
+    return blocks.repartitionById(parts, F.pmod(F.col(number), F.lit(parts)).cast("int"))

@@ -10,7 +10,9 @@ scorer is fitted on a sample of at most SAMPLE documents, drawn by a hash of id
 Nothing else is sampled, texts are read whole, and no text moves.
 
 Nulls: a null text is empty; a document without words gets no votes and, having no features, the scorer's bias alone.  Null ids and
-repeated rows stay, each judged on its own.  Empty table: empty.  If all vote alike, nothing is rejected.
+repeated rows stay, each judged on its own.  Empty table: empty.  If all vote alike, nothing is rejected.  A long text is read in
+one worker, with some 100 bytes of memory for each of its words.  Ids are whole numbers.  classify reads only the id and the
+text; keep_good keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -95,6 +95,20 @@ def test_substring_dedup(spark, odd, docs, rows):
         same(substring_dedup.substring_dedup(frame, window=window, piece=piece).collect(), dedup_by_hand(few, window))
 
 
+def test_a_window_in_every_document(spark, monkeypatch):
+    """A passage that all documents share, in buckets that are folded as they come, and hot by count or not at all."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(30))) + f" {passage} " + "x " * rng.randrange(20)) for i in rng.sample(range(10_000), 800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 2000)
+    for many, hot in ((1_000_000, 4000), (20, 4000), (1_000_000, 1)):
+        monkeypatch.setattr(substring_dedup, "MANY", many)
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        for most in (1000, 20_000, 1 << 20):
+            same(substring_dedup.substring_dedup(frame, most=most).collect(), dedup_by_hand(rows, 13))
+
+
 def test_windows_whose_hashes_collide():
     text = np.frombuffer(b"aa bb cc dd aa bb " + b"\0" * 8, np.uint8)
     start, end = np.array([0, 6, 12]), np.array([5, 11, 17])
