@@ -28,12 +28,13 @@ def prefix_range(column: Column, prefix: str) -> Column:
     return found & (column < end) if end is not None else found
 
 
-def small(rules: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def small(rules: DataFrame, most: int | None = None) -> DataFrame:
     """A rule table marked for broadcast if it is as small as it should be, or as it is."""
-    return F.broadcast(rules) if rules.limit(most + 1).count() <= most else rules
+    return F.broadcast(rules) if is_small(rules, most) else rules
 
 
-def is_small(rules: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+def is_small(rules: DataFrame, most: int | None = None) -> bool:
+    most = BROADCAST_ROWS if most is None else most
     return rules.limit(most + 1).count() <= most
 
 

@@ -350,6 +350,65 @@ def test_volume_files(tmp_path, spark):
     assert volumes.read_index(spark, str(tmp_path)).count() == len(index) and volumes.read_dat(spark, str(tmp_path)).count() == len(got)
 
 
+def test_odd_records(spark, tmp_path):
+    """Heads without a body, wrong checksums, a body that is too short, pieces of a volume."""
+    needle = volumes.Needle(7, 1, b"hello")
+    good, bare = volumes.encode(needle), volumes.RECORD_HEAD.pack(8, 2, 0)
+    wrong = bytearray(volumes.encode(volumes.Needle(9, 3, b"world")))
+    wrong[20] ^= 1
+    short = volumes.RECORD_HEAD.pack(10, 4, 3) + b"abc" + b"\0" * 5
+    assert volumes.decode(bare) == (volumes.Needle(8, 2), 16)
+    (tmp_path / "5.dat").write_bytes(volumes.encode_head(3) + good + bare + good)
+    assert [(int(r.id), bytes(r.data), r.deleted) for r in volumes.read_dat(spark, str(tmp_path)).orderBy("pos").collect()] == [(1, b"hello", False), (2, b"", True), (1, b"hello", False)]
+    (tmp_path / "5.dat").write_bytes(volumes.encode_head(3) + good + bytes(wrong) + short + bare + good)
+    with pytest.raises(Exception, match="checksum"):
+        volumes.read_dat(spark, str(tmp_path)).collect()
+    spark.dataSource.register(volumes.NeedleSource)
+    for read in (volumes.read_dat(spark, str(tmp_path), "mark"), spark.read.format("needles").option("corrupt", "mark").load(str(tmp_path))):
+        got = [(int(r.id), r.error, r.deleted) for r in read.orderBy("pos").collect()]
+        assert got == [(1, None, False), (3, "the checksum is wrong", False), (4, "the record is cut short", False), (2, None, True), (1, None, False)]
+
+
+def test_a_volume_is_read_in_pieces(spark, tmp_path):
+    rows = [(1, s, s, s, b"x" * (s % 97)) for s in range(1, 500)]
+    volumes.write_volume(spark.createDataFrame(rows, "vid long, seq long, cookie long, id long, data binary"), str(tmp_path))
+    pieces = volumes.splits(tmp_path / "1.dat", 1000)
+    assert len(pieces) > 20 and pieces[0][0] == 8 and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:], strict=False))
+    spark.dataSource.register(volumes.NeedleSource)
+    got = spark.read.format("needles").option("splitBytes", 1000).load(str(tmp_path))
+    assert sorted((int(r.id), len(r.data)) for r in got.collect()) == [(s, s % 97) for s in range(1, 500)]
+    (tmp_path / "1.idx").unlink()
+    assert volumes.splits(tmp_path / "1.dat", 1000) == [(8, (tmp_path / "1.dat").stat().st_size)]
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    """Beyond the bound of a broadcast list the answers are the same."""
+    from quarry.plans import rewrite
+
+    objects = spark.createDataFrame([(f"/b/{k}/x", k * 86400, {"t": str(k % 2)}) for k in range(12)], "path string, mtime_sec long, tags map<string, string>")
+    rules = spark.createDataFrame([(0, "/b/1", 3, 0, "", "Enabled", "t", "1"), (1, "/b/", 0, 2, "COLD", "Enabled", None, None), (2, "/b/", 8, 0, "", "Enabled", "t", "0"), (3, "", 1, 0, "", "Disabled", None, None)], "rule_idx int, prefix string, expire_days int, transition_days int, storage_class string, status string, tag_key string, tag_value string")
+    requests = spark.createDataFrame([(1, "https://a", "get"), (2, "https://b", "PUT"), (3, "x", "DELETE"), (4, "https://a", "PUT")], "request_id long, origin string, method string")
+    sites = spark.createDataFrame([(0, ["https://A"], ["GET"]), (1, ["*"], ["DELETE", "get"]), (2, ["https://b", "https://a"], ["put"])], "rule_idx int, origins array<string>, methods array<string>")
+    few = policies.lifecycle(objects, rules, 12 * 86400).collect(), policies.first_site_rule(requests, sites).collect()
+    assert {r.path: r.action for r in few[0]}["/b/1/x"] == "delete" and {r.rule_idx for r in few[1]} == {0, 1, 2}
+    monkeypatch.setattr(policies, "is_small", lambda _: False)
+    many = policies.lifecycle(objects, rules, 12 * 86400).collect(), policies.first_site_rule(requests, sites).collect()
+    for a, b in zip(few, many, strict=True):
+        assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
+    monkeypatch.setattr(rewrite, "BROADCAST_ROWS", 1)
+    with pytest.raises(ValueError, match="every row"):
+        rewrite.with_list(requests, sites.unionByName(sites), "rules")
+
+
+def test_upload_tally(spark):
+    def put(row):
+        if row["name"] == "b":
+            raise OSError("full")
+
+    got = feeds.upload(spark.createDataFrame([("a", 1), ("b", 2)], "name string, size long"), put).collect()
+    assert [tuple(r) for r in sorted(got)] == [("a", 1, True, None), ("b", 2, False, "OSError: full")]
+
+
 def test_erasure(spark, tmp_path):
     rng = random.Random(2)
     for k, m, lost in ((10, 3, (0, 5, 12)), (6, 3, (2, 7)), (4, 2, (1, 3)), (3, 0, ())):
