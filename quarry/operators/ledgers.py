@@ -147,11 +147,22 @@ def copy_progress(copied: DataFrame, every: int = 5) -> DataFrame:
     return fold(copied.select("copy_id", "seq", "bytes", "total"), "copy_id", "seq", "copy_id long, seq long, percent long", lambda _: (0, 0), step)
 
 
+def with_sum_before(rows: DataFrame, by: str, value: Column, name: str, block: int = 1_000_000) -> DataFrame:
+    """rows with the sum of a value over the rows of the same key before each, in order of seq: within blocks of seq by one
+    window, across blocks by a window over one row a block, so that a key with most of the rows is spread too."""
+    own = rows.withColumn("_block", F.floor(F.col("seq") / block)).withColumn("_n", value)
+    within = Window.partitionBy(by, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    each = own.groupBy(F.col(by).alias("_key"), F.col("_block").alias("_of")).agg(F.sum("_n").alias("_total"))
+    each = each.select("_key", "_of", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    placed = own.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(each, F.col(by).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of")))
+    return placed.select(*rows.columns, (F.col("_start") + F.col("_before")).cast("long").alias(name))
+
+
 def allocate_ids(requests: DataFrame, start: int = 1) -> DataFrame:
     """requests(stream, seq, n): each gets n ids (one if it asks for none) after those before it."""
-    order = Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.greatest(F.col("n"), F.lit(1))
-    return requests.withColumn("n", n).withColumn("first_id", (F.lit(start) + F.coalesce(F.sum("n").over(order), F.lit(0))).cast("long"))
+    asked = requests.withColumn("n", F.greatest(F.col("n"), F.lit(1)))
+    return with_sum_before(asked, "stream", F.col("n"), "first_id").withColumn("first_id", F.col("first_id") + start)
 
 
 def saved_ceilings(requests: DataFrame, step_size: int = 1000) -> DataFrame:
@@ -206,7 +217,7 @@ def complete_multipart(asked: DataFrame, stored: DataFrame, least: int = 5 << 20
 
 def deal_in_turn(rows: DataFrame, by: str, n: int) -> DataFrame:
     """rows(by, ...) with a shard, in turn within each group by order of seq."""
-    return rows.withColumn("shard", F.pmod(F.row_number().over(Window.partitionBy(by).orderBy("seq")) - 1, F.lit(n)).cast("long"))
+    return with_sum_before(rows, by, F.lit(1), "shard").withColumn("shard", F.pmod("shard", F.lit(n)).cast("long"))
 
 
 def latency_report(samples: DataFrame, by: str, ranks: dict[str, float], elapsed: float) -> DataFrame:
