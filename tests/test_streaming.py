@@ -68,3 +68,31 @@ def test_events_in_part_files(spark, sf, tmp_path):
     want = registry.queries()["st3_subscribe_stream"](spark, sf)
     assert got.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "LocalTableScan" not in got._jdf.queryExecution().optimizedPlan().toString() and got.inputFiles()
+
+
+def test_a_feed_is_appended(spark, tmp_path):
+    rows = [(i, op) for i, op in enumerate(["create", "update", "delete", "rename", "append"])]
+    stream = written(spark, tmp_path / "in", [spark.createDataFrame(rows, "seq long, op string")])
+    feed.append_to(stream, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "log")).collect()
+    assert sorted((r.seq, r.op) for r in got) == [(0, "create"), (2, "delete"), (3, "rename")] and all(r.append_at for r in got)
+
+
+def test_a_job_runs_again_and_again(spark):
+    import time
+
+    ran = []
+    query = feed.every(spark, "1 second", ran.append)
+    until = time.monotonic() + 60
+    while len(ran) < 2 and time.monotonic() < until:
+        time.sleep(0.2)
+    query.stop()
+    assert len(ran) >= 2
+
+
+def test_a_batch_of_bounded_bytes(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    sizes = []
+    query = feed.read_events(spark, str(tmp_path), bytes_per_trigger="1").writeStream.foreachBatch(lambda b, n: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(sizes) == 6 and sum(sizes) == spark.read.parquet(f"{sf}/events.parquet").count()
