@@ -101,19 +101,23 @@ def masks(radius: int) -> list[int]:
 
 
 def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what is linked among distinct fingerprints: rows are taken up breadth first."""
+    """Edges that join what is linked among distinct fingerprints, breadth first: each from the least fingerprint of its tree, so
+    that other buckets give many of the same edges."""
     left, a, b = np.arange(len(fp)), [], []
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        queue, tree, left = [left[0]], [left[:1]], left[1:]
         while queue and len(left):
             i = queue.pop()
             near = np.bitwise_count(fp[left] ^ fp[i]) <= radius
             got = left[near]
             if len(got):
                 left = left[~near]
-                a.append(np.full(len(got), fp[i]))
-                b.append(fp[got])
+                tree.append(got)
                 queue.extend(got.tolist())
+        if len(tree) > 1:
+            own = np.sort(fp[np.concatenate(tree)])
+            a.append(np.full(len(own) - 1, own[0]))
+            b.append(own[1:])
     none = np.zeros(0, np.uint64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
