@@ -41,9 +41,13 @@ def _(t):
     return ops.export_tree(t("f_entries"), "/buckets/src3")
 
 
-@query("k3_backup_document")
+@query("k3_backup_document", f"select regexp_replace(path, '/[^/]*$', '') as dir, {NOW} as generated_at, '/buckets/src3' as root, path, is_dir, size, mtime_sec from ({_TREE})")
 def _(t):
-    return ops.backup_document(ops.export_tree(t("f_entries"), "/buckets/src3"), "/buckets/src3", NOW)
+    """The documents, read again."""
+    docs = ops.backup_document(ops.export_tree(t("f_entries"), "/buckets/src3"), "/buckets/src3", NOW)
+    kind = "generated_at int, root string, entries array<struct<path: string, is_dir: boolean, size: bigint, mtime_sec: bigint>>"
+    each = docs.select("dir", F.from_json("doc", kind).alias("d")).select("dir", "d.generated_at", "d.root", F.explode("d.entries").alias("e"))
+    return each.select("dir", "generated_at", "root", "e.path", "e.is_dir", "e.size", "e.mtime_sec")
 
 
 @query("s8_list_buckets", "select distinct string_split(dir, '/')[3] as bucket from f_entries where not starts_with(string_split(dir, '/')[3], '.')")
