@@ -53,21 +53,37 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _store(spark: SparkSession, path: str) -> tuple:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    store, where = _store(spark, path)
+    store.delete(where, True)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _finished(spark: SparkSession, path: str) -> bool:
+    store, where = _store(spark, f"{path}/_SUCCESS")
+    return store.exists(where)
+
+
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
     """The last stage's rows for documents.  A stage's table goes once the next one's is whole; the one that the
-    result reads stays, in the shared folder."""
-    folder = f"{shared_folder(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        out = f"{folder}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
-        if before:
-            _remove(spark, before)
-        before = out
+    result reads stays, in the shared folder, until remove(run_id).  A run that is started again under its id goes on after the last
+    stage that it finished."""
+    folder = f"{shared_folder(spark)}/corpus_pipeline-{run_id or uuid.uuid4().hex}"
+    outs = [f"{folder}/{k}_{name}" for k, (name, _) in enumerate(STAGES[:-1])]
+    done = max((k + 1 for k, out in enumerate(outs) if run_id and _finished(spark, out)), default=0)
+    docs = spark.read.parquet(outs[done - 1] if done else f"{sf_dir}/documents.parquet")
+    for k in range(done, len(outs)):
+        STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(outs[k])
+        docs = spark.read.parquet(outs[k])
+        if k:
+            _remove(spark, outs[k - 1])
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def remove(spark: SparkSession, run_id: str) -> None:
+    """Removes what a run left in the shared folder."""
+    _remove(spark, f"{shared_folder(spark)}/corpus_pipeline-{run_id}")
