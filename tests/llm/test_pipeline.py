@@ -42,6 +42,47 @@ def test_run_is_the_stages_in_order(spark, sf):
     assert out.count() > 50 and "ids_sha256" in out.columns
 
 
+def test_a_run_goes_on_after_its_last_stage(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(tmp_path))
+    ran = []
+
+    def stage(name, fails=()):
+        def work(spark, docs, sf_dir):
+            ran.append(name)
+            if name in fails:
+                raise RuntimeError(name)
+            return docs.where(f"doc_id <> {ord(name)}")
+
+        return name, work
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b"), stage("c", "c"), stage("d")])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, sf, "one")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage(n) for n in "abcd"])
+    out = corpus_pipeline.run(spark, sf, "one")
+    assert ran == ["a", "b", "c", "c", "d"]
+    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()} - set(map(ord, "abcd"))
+    assert sorted(p.name for p in (tmp_path / "corpus_pipeline-one").iterdir()) == ["2_c"]
+    corpus_pipeline.remove(spark, "one")
+    assert not (tmp_path / "corpus_pipeline-one").exists()
+
+
+def test_stages_on_empty_and_odd_tables(spark, sf):
+    """No stage fails on an empty table, or on null and repeated rows and columns with the names that it uses itself."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None, "x", 1), (1, "", "en", "s", 0, "y", 2), (1, "", "en", "s", 0, "y", 2), (2, "a b", None, "s", 3, "z", 3)], docs.schema.simpleString()[7:-1].replace(":", " ") + ", keep string, digest int")
+    for table in (odd.limit(0), odd):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, sf)
+            n = out.count()
+            assert n <= table.count()
+            if k < 4:
+                assert out.columns == table.columns
+            if k == 1 and n:
+                assert sorted(map(str, (r.doc_id for r in out.collect()))) == ["1", "2", "None"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, sf, name):
     out = queries.queries()[name](spark, sf)
