@@ -185,7 +185,8 @@ def _bucket_edges(radius: int, pairwise: int):
 
 def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
     """Edges (which, a, b) between distinct (which, fp) that hold together what is linked; fingerprints of another `which` never
-    meet.  Partitions grow with the rows that the tables make."""
+    meet (none: all are alike).  Partitions grow with the rows that the tables make."""
+    fps = fps if "which" in fps.columns else fps.withColumn("which", F.lit(0))
     kept, conf = masks(radius), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(conf, fps.count() * len(kept) // PER_PARTITION)
     tables = F.explode(F.array(*[F.lit(v) for v in range(len(kept))])).alias("v")
