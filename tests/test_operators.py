@@ -162,6 +162,21 @@ def test_growth(spark):
     assert [one(spark, topology.grow_count(F.lit(n))) for n in (0, 10, 100, 5)] == [1, 1, 10, 1]
 
 
+def test_candidates_shuffle_no_pairs(spark):
+    replicas = spark.createDataFrame([(1, 10), (1, 20), (1, 20), (2, 30), (3, 10), (3, 20), (3, 30), (4, None)], "vid long, node long")
+    nodes = spark.createDataFrame([(10, 1), (20, 2), (30, 0), (40, 5), (40, 5), (None, 1)], "node long, free_slots long")
+    lack = topology.census(replicas, F.lit(3))
+    want = [(1, 40), (1, 40), (1, None), *[(v, n) for v in (2, 4) for n in (10, 20, 40, 40, None)]]
+    key = lambda x: (x[0], x[1] or 0)
+    for vids in (lack, lack.select("vid"), topology.census(replicas, F.lit(3), held=True)):
+        found = topology.candidates(replicas, nodes, vids)
+        assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key)
+        before_pairs = found._jdf.queryExecution().sparkPlan().toString().split("NestedLoopJoin")[0]
+        assert "Join" not in before_pairs and "Exchange" not in before_pairs
+    never = spark.createDataFrame([(7,), (7,)], "vid long")
+    assert topology.candidates(replicas, nodes, never).count() == 5  # a volume that nobody holds, asked about once
+
+
 def test_placement(spark):
     nodes = [("n1", "d1", "r1"), ("n2", "d1", "r1"), ("n3", "d1", "r2"), ("n4", "d2", "r1"), ("n5", "d2", "r2")]
     asked = spark.createDataFrame([(1, 1, 1, 1, nodes), (2, 0, 0, 0, nodes), (3, 2, 0, 0, nodes), (4, 0, 3, 0, nodes), (5, 0, 0, 1, []), (6, 0, 0, 9, nodes)], "request_id long, copies_dc int, copies_rack int, copies_same int, candidates array<struct<node: string, dc: string, rack: string>>")
