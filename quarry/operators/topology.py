@@ -173,6 +173,25 @@ def writable_in(layout: DataFrame, replicas: DataFrame, alive: DataFrame, dc: st
     return layout.where("state = 'writable'").join(first.where("there"), "vid").join(alive.select("node"), "node", "left_semi").select("vid", F.col("node").alias("primary"))
 
 
+def near_candidates(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """asked(request_id, copies_dc, copies_rack, copies_same), each with the candidates that place_copies can come to among
+    all nodes(node, dc, rack) in that order.
+
+    With the most nodes that a request names as n, it takes from the first n of other data centers, the first node of each
+    of the first n other racks, the first n of the primary's rack, and, as fewer than n are taken before, the first 2 n of all."""
+    most = asked.agg(F.max(F.greatest("copies_dc", F.lit(0)) + F.greatest("copies_rack", F.lit(0)) + F.greatest("copies_same", F.lit(0)) + 1)).first()[0] or 1
+    every = nodes.select("node", "dc", "rack").distinct()
+    order = ["node", "dc", "rack"]
+    home = every.orderBy(*order).limit(1).select(F.col("dc").alias("home_dc"), F.col("rack").alias("home_rack"))
+    placed = every.crossJoin(F.broadcast(home)).select(*order, F.col("dc").eqNullSafe(F.col("home_dc")).alias("near"), F.col("rack").eqNullSafe(F.col("home_rack")).alias("own"))
+    racks = placed.where("near and not own").groupBy("dc", "rack").agg(F.min(F.struct(*order)).alias("x")).select("x.*")
+    few = every.orderBy(*order).limit(2 * most)
+    for group in (placed.where("not near"), racks, placed.where("near and own")):
+        few = few.unionByName(group.select(*order).orderBy(*order).limit(most))
+    listed = few.distinct().agg(F.array_sort(F.collect_list(F.struct(*order))).alias("candidates"))
+    return asked.crossJoin(F.broadcast(listed))
+
+
 def place_copies(asked: DataFrame) -> DataFrame:
     """asked(request_id, copies_dc, copies_rack, copies_same, candidates array<struct<node, dc, rack>> in order): the nodes
     to put a new volume on.  The first candidate is the primary; then other data centers, other racks of its data
@@ -204,7 +223,7 @@ def place_copies(asked: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (x.slice(a, 1000) for x in batches for a in range(0, x.num_rows, 1000)):
             rows = b.to_pylist()
             picked = [choose(r["copies_dc"], r["copies_rack"], r["copies_same"], r["candidates"] or []) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column("request_id"), pa.array([",".join(p) for p in picked], pa.string()), pa.array([len(p) for p in picked], pa.int64())], ["request_id", "nodes", "n"])

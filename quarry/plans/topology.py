@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quarry.operators import topology as ops
 from quarry.plans.catalog import query
-from quarry.plans.rewrite import with_list
 
 #: A volume has some 25 replicas here; so many are expected, and some volumes have fewer.
 _EXPECTED = "20 + vid % 4"
@@ -186,6 +185,6 @@ def _(t):
     select request_id, string_agg(node, ',' order by step, pos) as nodes, count(*) as n from final group by request_id""",
 )
 def _(t):
-    nodes = t("f_topology").select(F.col("node").cast("string").alias("node"), "dc", "rack").distinct()
+    nodes = t("f_topology").select(F.col("node").cast("string").alias("node"), "dc", "rack")
     asked = t("f_nodes").selectExpr("node as request_id", "cast(node % 3 as int) as copies_dc", "cast(node % 2 as int) as copies_rack", "cast(node % 4 as int) as copies_same")
-    return ops.place_copies(with_list(asked, nodes, "candidates"))
+    return ops.place_copies(ops.near_candidates(asked, nodes))

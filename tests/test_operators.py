@@ -184,6 +184,20 @@ def test_placement(spark):
     assert got == {1: "n1,n4,n3,n2", 2: "n1", 3: "n1,n4,n5", 4: "n1,n3,n2,n4", 5: "", 6: "n1,n2,n3,n4,n5"}
 
 
+def test_placement_needs_few_candidates(spark):
+    rng = random.Random(6)
+    asked = spark.createDataFrame([(i, d, r, s) for i, (d, r, s) in enumerate((d, r, s) for d in (0, 1, 3) for r in (0, 2) for s in (0, 1, 4))], "request_id long, copies_dc int, copies_rack int, copies_same int")
+    for n_dc, n_rack, n in ((1, 1, 40), (1, 12, 60), (3, 4, 300), (2, 2, 3), (4, 1, 90)):
+        where = [(f"n{i}", f"d{rng.randrange(n_dc)}", f"r{rng.randrange(n_rack)}") for i in range(n)]
+        nodes = spark.createDataFrame(where + where[:2], "node string, dc string, rack string")
+        few = topology.near_candidates(asked, nodes)
+        assert {len(r.candidates) for r in few.collect()} <= set(range(5 * 10 + 1))
+        every = asked.crossJoin(F.broadcast(nodes.distinct().agg(F.array_sort(F.collect_list(F.struct("node", "dc", "rack"))).alias("candidates"))))
+        assert sorted(topology.place_copies(few).collect()) == sorted(topology.place_copies(every).collect())
+    assert {(r.nodes, r.n) for r in topology.place_copies(topology.near_candidates(asked, nodes.limit(0))).collect()} == {("", 0)}
+    assert topology.place_copies(topology.near_candidates(asked.limit(0), nodes)).count() == 0
+
+
 def test_lifecycle(spark):
     now = 1773100800
     rules = spark.createDataFrame([(0, "logs/", 30, 0, "", "Enabled"), (1, "data/", 0, 90, "COLD", "Enabled")], "rule_idx int, prefix string, expire_days int, transition_days int, storage_class string, status string")
