@@ -106,14 +106,21 @@ def delete_tree(entries: DataFrame, root: str) -> DataFrame:
     return entries.where(~below(full_path(F.col("dir"), F.col("name")), root))
 
 
-def rename(entries: DataFrame, old: tuple[str, str], new: tuple[str, str], children: bool = False) -> DataFrame:
-    """One entry moves; what stood at the new place is replaced.  children: what lies below moves too."""
-    (old_dir, old_name), (new_dir, new_name) = old, new
-    own = (F.col("dir") == old_dir) & (F.col("name") == old_name)
-    stay = entries.where(~((F.col("dir") == new_dir) & (F.col("name") == new_name)) | F.lit(old == new))
-    moved = stay.select(*[F.when(own, F.lit(v)).otherwise(F.col(c)).alias(c) if v else F.col(c) for c in stay.columns for v in [{"dir": new_dir, "name": new_name}.get(c)]])
+def rename(entries: DataFrame, old: tuple[str, str] | Column, new: tuple[str, str], children: bool = False) -> DataFrame:
+    """One entry moves; what stood at the new place is replaced.  children: what lies below moves too.
+    The entry is named by its place (dir, name), or found by a condition, such as on its inode, wherever it stands."""
+    by_place = isinstance(old, tuple)
+    if children and not by_place:
+        raise ValueError("children move with an entry that is named by its place")
+    new_dir, new_name = new
+    own = (F.col("dir") == old[0]) & (F.col("name") == old[1]) if by_place else F.coalesce(old, F.lit(False))
+    same = F.lit(old == new) if by_place else own
+    stay = entries.where(~(F.col("dir").eqNullSafe(new_dir) & F.col("name").eqNullSafe(new_name)) | same)
+    placed = {"dir": new_dir, "name": new_name}
+    moved = stay.select(*[F.when(own, F.lit(placed[c])).otherwise(F.col(c)).alias(c) if c in placed else F.col(c) for c in stay.columns])
     if not children:
         return moved
+    (old_dir, old_name) = old
     a, b = f"{old_dir.rstrip('/')}/{old_name}", f"{new_dir.rstrip('/')}/{new_name}"
     return moved.withColumn("dir", F.when(below(F.col("dir"), a), F.concat(F.lit(b), F.substring("dir", len(a) + 1, 2**30))).otherwise(F.col("dir")))
 

@@ -100,7 +100,7 @@ def _(t):
 
 @query("k9_rename", "select case when inode = 1 then '/buckets/moved' else dir end as dir, case when inode = 1 then 'renamed' else name end as name, file_size from f_entries")
 def _(t):
-    return ops.rename(t("f_entries").select("dir", "name", "file_size"), ("/buckets/src1/en", "doc-00000001"), ("/buckets/moved", "renamed"))
+    return ops.rename(t("f_entries").select("inode", "dir", "name", "file_size"), F.col("inode") == 1, ("/buckets/moved", "renamed")).drop("inode")
 
 
 @query(

@@ -162,6 +162,21 @@ def test_growth(spark):
     assert [one(spark, topology.grow_count(F.lit(n))) for n in (0, 10, 100, 5)] == [1, 1, 10, 1]
 
 
+def test_rename_finds_its_entry_wherever_it_stands(spark, tmp_path):
+    from quarry import registry
+
+    docs = spark.createDataFrame([(1, "src9", "fr", "a", 1), (2, "src1", "en", "b", 2), (1, "src1", "en", "c", 3)], "doc_id long, source string, lang string, text string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in registry.queries()["k9_rename"](spark, str(tmp_path)).select("dir", "name", "file_size").collect())
+    assert got == [("/buckets/moved", "renamed", 1), ("/buckets/moved", "renamed", 3), ("/buckets/src1/en", "doc-00000002", 2)]
+    rows = spark.createDataFrame([(1, "/a", "x"), (2, "/n", "y"), (3, None, "y"), (None, "/b", "z")], "inode long, dir string, name string")
+    moved = namespace.rename(rows, F.col("inode") == 1, ("/n", "y"))
+    assert {tuple(r) for r in moved.collect()} == {(1, "/n", "y"), (3, None, "y"), (None, "/b", "z")}
+    assert moved.count() == 3 and namespace.rename(moved, F.col("inode") == 1, ("/n", "y")).count() == 3
+    with pytest.raises(ValueError):
+        namespace.rename(rows, F.col("inode") == 1, ("/n", "y"), children=True)
+
+
 def test_candidates_shuffle_no_pairs(spark):
     replicas = spark.createDataFrame([(1, 10), (1, 20), (1, 20), (2, 30), (3, 10), (3, 20), (3, 30), (4, None)], "vid long, node long")
     nodes = spark.createDataFrame([(10, 1), (20, 2), (30, 0), (40, 5), (40, 5), (None, 1)], "node long, free_slots long")
