@@ -7,11 +7,13 @@ matrix that gives back what they lack is made once for each set of shards."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +101,27 @@ def verify(shards: dict[int, bytes], k: int, m: int) -> bool:
     return len(shards) == k + m and reconstruct({i: shards[i] for i in range(k)}, k, m) == [shards[i] for i in range(k + m)]
 
 
-def _sized(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+#: Bytes of objects or shards that a worker works on at once, and of an Arrow batch that Spark sends it.
+CHUNK_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+
+
+def _bounded(rows: DataFrame) -> DataFrame:
+    """rows; the session's bound on an Arrow batch is lowered to BATCH_BYTES, as 10,000 whole objects would fill the workers."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", rows.sparkSession.conf
+    n, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", conf.get(name).strip().lower()).groups()
+    if not 0 < int(n) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return rows
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into slices of about CHUNK_BYTES of data (one row at least)."""
+    for b in batches:
+        for first, end in _sized(pc.fill_null(pc.binary_length(b.column("data")), 0).to_pylist()):
+            yield b.slice(first, end - first)
+
+
+def _sized(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of about so many bytes."""
     a = total = 0
     for b, n in enumerate(sizes):
@@ -116,21 +138,19 @@ def encode(objects: DataFrame, id_col: str, k: int = DATA, m: int = PARITY) -> D
     code_matrix(k, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            every = [x or b"" for x in b.column("data").to_pylist()]
-            for first, end in _sized(list(map(len, every))):
-                data = every[first:end]
-                width = [max(1, -(-len(x) // k)) for x in data]
-                rows = np.concatenate([np.frombuffer(x.ljust(w * k, b"\0"), np.uint8).reshape(k, w) for x, w in zip(data, width, strict=True)], axis=1)
-                made, to = times(code_matrix(k, m), rows), np.cumsum(width).tolist()
-                shards = [row[e - w : e].tobytes() for e, w in zip(to, width, strict=True) for row in made]
-                n = len(data)
-                of = np.repeat(np.arange(first, end), k + m)
-                size = np.array(list(map(len, data)), np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(of)), pa.array(np.tile(np.arange(k + m, dtype=np.int32), n)), pa.array(shards, pa.binary()), pa.array(np.repeat(size, k + m))], ["id", "shard_idx", "data", "size"])
+        for b in _pieces(batches):
+            data = [x or b"" for x in b.column("data").to_pylist()]
+            width = [max(1, -(-len(x) // k)) for x in data]
+            rows = np.concatenate([np.frombuffer(x.ljust(w * k, b"\0"), np.uint8).reshape(k, w) for x, w in zip(data, width, strict=True)], axis=1)
+            made, to = times(code_matrix(k, m), rows), np.cumsum(width).tolist()
+            shards = [row[e - w : e].tobytes() for e, w in zip(to, width, strict=True) for row in made]
+            n = len(data)
+            of = np.repeat(np.arange(n), k + m)
+            size = np.array(list(map(len, data)), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(of)), pa.array(np.tile(np.arange(k + m, dtype=np.int32), n)), pa.array(shards, pa.binary()), pa.array(np.repeat(size, k + m))], ["id", "shard_idx", "data", "size"])
 
     kind = objects.schema[id_col].dataType.simpleString()
-    own = objects.select(F.col(id_col).alias("id"), F.col("data").cast("binary").alias("data"))
+    own = _bounded(objects).select(F.col(id_col).alias("id"), F.col("data").cast("binary").alias("data"))
     return own.mapInArrow(run, f"id {kind}, shard_idx int, data binary, size long").withColumnRenamed("id", id_col)
 
 
@@ -165,7 +185,7 @@ def decode(shards: DataFrame, id_col: str, k: int = DATA, m: int = PARITY, most:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], arrow), pa.array(_data_of(held, k, m), pa.binary())], ["id", "data"])
 
         arrow = None
-        for b in batches:
+        for b in _pieces(batches):
             arrow = b.schema.field("id").type
             for i, place, data, size in zip(*(b.column(c).to_pylist() for c in ("id", "shard_idx", "data", "size")), strict=True):
                 if first or held[-1][0] != i:
@@ -180,7 +200,7 @@ def decode(shards: DataFrame, id_col: str, k: int = DATA, m: int = PARITY, most:
             yield done()
 
     kind = shards.schema[id_col].dataType.simpleString()
-    own = shards.select(F.col(id_col).alias("id"), "shard_idx", "data", "size")
+    own = _bounded(shards).select(F.col(id_col).alias("id"), "shard_idx", "data", "size")
     return own.repartition(F.xxhash64("id")).sortWithinPartitions("id").mapInArrow(run, f"id {kind}, data binary").withColumnRenamed("id", id_col)
 
 

@@ -480,3 +480,27 @@ def test_erasure(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "ec" / "manifest")).select("shard_idx", "objects", "bytes").collect()) == [(i, 3, 23) for i in range(6)]
     back = erasure.read_shards(spark, str(tmp_path / "ec")).where("shard_idx not in (0, 5)")
     assert {(r.id, bytes(r.data)) for r in erasure.decode(back, "id", 4, 2).collect()} == {(1, b"hello"), (2, b""), (3, b"z" * 77)}
+
+
+def test_shards_are_made_of_few_bytes_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for bound in ("64m", "1g", "1024kb"):
+            spark.conf.set(name, bound)
+            rows = spark.range(0, 9000, 1, 1).select("id", F.expr("case when id = 7 then null when id = 8 then repeat('y', 3000000) else repeat(char(97 + id % 20), 1000 + id % 7) end").alias("data"))
+            shards = erasure.encode(rows, "id", 4, 2)
+            batches = rows.mapInArrow(lambda it: (b.select([0]).slice(0, 1) for b in it), "id long").count()
+            assert batches >= 3  # one of 9,000 rows before
+        for r in shards.where("id in (7, 8, 9, 8999)").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("shard_idx", "data"))).alias("s")).collect():
+            data = {7: b"", 8: b"y" * 3_000_000}.get(r.id, bytes([97 + r.id % 20]) * (1000 + r.id % 7))
+            assert [bytes(x.data) for x in r.s] == erasure.shards_of(data, 4, 2)
+        back = erasure.decode(shards.where("shard_idx not in (0, 5)"), "id", 4, 2)
+        assert back.join(rows.withColumnRenamed("data", "was"), "id").where("data = cast(coalesce(was, '') as binary)").count() == 9000
+    finally:
+        spark.conf.set(name, before)
+    import pyarrow as pa
+
+    batch = pa.record_batch({"data": pa.array([None, b"", *[b"x" * 400_000] * 9, b"y" * 5_000_000], pa.binary())})
+    pieces = list(erasure._pieces([batch, batch.slice(0, 0)]))
+    assert pa.Table.from_batches(pieces).combine_chunks() == pa.Table.from_batches([batch]) and [p.num_rows for p in pieces] == [4, 2, 2, 2, 1, 1]
