@@ -192,6 +192,31 @@ def test_candidates_shuffle_no_pairs(spark):
     assert topology.candidates(replicas, nodes, never).count() == 5  # a volume that nobody holds, asked about once
 
 
+def test_candidates_by_blocks_of_nodes(spark, monkeypatch):
+    held = {1: [3, 4, 5, 9], 2: [0, 49], 3: [], 5: [200], 6: list(range(50))}
+    replicas = spark.createDataFrame([(v, n) for v, ns in held.items() for n in ns for _ in range(2)] + [(7, None)], "vid long, node int")
+    rooms = [(n, n % 3) for n in range(50)] + [(4, 1), (4, 2), (49, 1), (None, 1), (None, 2), (None, 0)]
+    nodes = spark.createDataFrame(rooms, "node long, free_slots long")
+    vids = spark.createDataFrame([(1,), (2,), (2,), (3,), (5,), (6,), (7,)], "vid long")
+    want = sorted((v, -1 if n is None else n) for v in (1, 2, 3, 5, 6, 7) for n, room in rooms if room and (n is None or n not in held.get(v, [])))
+    for block, part in ((8, 16), (1, 1), (7, 1000), (1000, 1000)):
+        monkeypatch.setattr(topology, "BLOCK", block)
+        monkeypatch.setattr(topology, "PART", part)
+        found = topology.candidates(replicas, nodes, vids)
+        assert sorted((r.vid, -1 if r.target is None else r.target) for r in found.collect()) == want
+        if block < 50:
+            plan = found._jdf.queryExecution().sparkPlan().toString()
+            assert "Exchange" not in plan.split("CartesianProduct")[0] and "NestedLoopJoin" not in plan
+
+
+def test_candidates_are_written_small(spark, tmp_path):
+    nodes = spark.range(60_000).selectExpr("id as node", "1 as free_slots")
+    replicas = spark.range(60).selectExpr("id as vid", "explode(array(id * 7, id * 900)) as node")
+    topology.candidates(replicas, nodes, topology.census(replicas, F.lit(3), held=True)).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 60 * 60_000 - 119  # volume 0 has one node
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 60 * 60_000  # over two bytes a pair where each volume met all nodes in turn
+
+
 def test_placement(spark):
     nodes = [("n1", "d1", "r1"), ("n2", "d1", "r1"), ("n3", "d1", "r2"), ("n4", "d2", "r1"), ("n5", "d2", "r2")]
     asked = spark.createDataFrame([(1, 1, 1, 1, nodes), (2, 0, 0, 0, nodes), (3, 2, 0, 0, nodes), (4, 0, 3, 0, nodes), (5, 0, 0, 1, []), (6, 0, 0, 9, nodes)], "request_id long, copies_dc int, copies_rack int, copies_same int, candidates array<struct<node: string, dc: string, rack: string>>")
